@@ -7,7 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import simhash
+from weirline.llm import quality, simhash
+
+
+STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+
+OP4_SQL = f"""
+with d as (
+  select doc_id, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents
+), g as (
+  select doc_id, i, array_to_string(words[i:i + 7], ' ') as gram
+  from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from d)
+), twice as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g) where n > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from (select doc_id, i, unnest(range(0, 8)) as k from twice) group by doc_id
+), m as (
+  select d.doc_id, cast(len(words) as bigint) as n_words,
+    cast(length(array_to_string(words, '')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(list_filter(words, lambda w: lower(w) in ({STOP_LIST}))) as bigint) as n_stop_words,
+    cast(len(lines) as bigint) as n_lines,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
+  from d left join covered using (doc_id)
+), b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed
+  and coalesce(word_chars / nullif(n_words, 0) between 2.0 and 12.0, true)
+  and coalesce(n_symbols / nullif(n_words, 0) <= 0.1, true)
+  and coalesce(n_stop_words / nullif(n_words, 0) >= 0.03, true)
+  and coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5, true) as kept
+from b
+"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +54,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = quality.judged(documents(spark, sf_dir), keep=["doc_id"])
+    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": OP4_SQL}
