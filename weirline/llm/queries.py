@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import quality, secrets, sharding, simhash
+from weirline.llm import language, quality, secrets, sharding, simhash, tokencount
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -68,6 +68,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    crc = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5, F.lit(0))
+    model = language.fit(docs.where((crc("doc_id") != 0) & F.col("lang").isNotNull()))
+    found = language.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (crc("id") == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
