@@ -12,7 +12,7 @@ def test_held_out_accuracy_and_edges(spark, sf):
     rows = pred.collect()
     assert sum(r.lang == r.real for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     english = docs.where("lang = 'en' and n_chars > 1000").first().text * 200
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 _ 34 😀", "x"), (4, english, "x"), (4, "ЖЖЖ щщщ", "x"), (None, "der die das", "x")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 _ 34 😀", "x"), (4, english, "x"), (5, "ЖЖЖ щщщ", "x"), (None, "der die das", "x")], "doc_id long, text string, lang string")
     by = {(r.id, r.score > 0): r for r in language.predict(odd, model).collect()}
     assert [by[i, False].lang for i in (1, 2, 3)] == ["und"] * 3 and by[4, True].lang == "en" and (None, True) in by
     assert any(r.rejected for r in by.values())
