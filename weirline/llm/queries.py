@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import language, quality, secrets, sharding, simhash, tokencount
+from weirline.llm import decontaminate, language, quality, secrets, sharding, simhash, tokencount
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -58,6 +58,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.judged(documents(spark, sf_dir), keep=["doc_id"])
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
