@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import decontaminate, language, quality, secrets, sharding, simhash, tokencount
+from weirline.llm import decontaminate, language, pieces, quality, secrets, sharding, simhash, tokencount
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -85,6 +85,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc("id") == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
