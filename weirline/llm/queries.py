@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import decontaminate, language, linededup, pieces, quality, secrets, sharding, simhash, tokencount
+from weirline.llm import decontaminate, language, linededup, pieces, pii, quality, secrets, sharding, simhash, tokencount
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -89,6 +89,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
