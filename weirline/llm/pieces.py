@@ -145,25 +145,19 @@ def fold(lat: DataFrame) -> DataFrame:
     first edge whose ends are in the set with one place of it between them, and takes
     that place out: the merge of two neighbours with the best score.
     """
+    # the end state and the cuts are bound as variables of one expression: as columns they would be worked out again for each letter
     return lat.selectExpr(
         "word",
-        "edges",
         """aggregate(
              sequence(1, length(word)),
              named_struct('at', shiftleft(1L, length(word) + 1) - 1L, 'on', true),
-             (a, k) -> if(not a.on, a, transform(array(get(filter(edges, x ->
-                 (a.at & x.inside) <> 0L and (a.at & x.inside & ((a.at & x.inside) - 1L)) = 0L
+             (a, k) -> if(not a.on, a, transform(array(get(filter(edges, x -> x.e - x.s > 1
+                 and (a.at & x.inside) <> 0L and (a.at & x.inside & ((a.at & x.inside) - 1L)) = 0L
                  and getbit(a.at, x.s) = 1 and getbit(a.at, x.e) = 1), 0)),
                x -> if(x is null, named_struct('at', a.at, 'on', false), named_struct('at', a.at & ~x.inside, 'on', true)))[0]),
-             a -> a.at) as at""",
-    ).selectExpr(
-        "word",
-        "edges",
-        "filter(sequence(0, length(word)), i -> getbit(at, i) = 1) as cuts",
-    ).selectExpr(
-        "word",
-        """transform(slice(cuts, 1, size(cuts) - 1), (s, i) -> named_struct('s', s, 'e', get(cuts, i + 1),
-             'id', get(filter(edges, x -> x.s = s and x.e = get(cuts, i + 1)), 0).id)) as path""",
+             a -> transform(array(filter(sequence(0, length(word)), i -> getbit(a.at, i) = 1)),
+               cuts -> transform(slice(cuts, 1, size(cuts) - 1), (s, i) -> named_struct('s', s, 'e', get(cuts, i + 1),
+                 'id', get(filter(edges, x -> x.s = s and x.e = get(cuts, i + 1)), 0).id)))[0]) as path""",
     )
 
 
