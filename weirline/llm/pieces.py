@@ -18,10 +18,10 @@ from weirline.llm.common import Scratch
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of which the lattice table has at most this many, the most frequent; places are bits of a long, hence their length.
-TABLE = 1 << 18
+TABLE = 1 << 16
 TABLE_LETTERS = 60
 #: Words a worker keeps that are not in the table.
-KEPT = 1 << 16
+KEPT = 1 << 18
 
 
 class Pieces:
