@@ -109,5 +109,6 @@ def filtered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """The rows of docs that are kept, with all and only their own columns."""
     keep = docs.columns
     renamed = docs.toDF(*(f"_c{i}" for i in range(len(keep))))
-    out = judged(renamed, f"_c{keep.index(text_col)}", renamed.columns, rules).where("kept")
+    # the row number keeps the filter above the projections: pushed down, it would work every measure out again for each use
+    out = judged(renamed, f"_c{keep.index(text_col)}", renamed.columns, rules).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)))
