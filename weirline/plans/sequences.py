@@ -96,3 +96,36 @@ def udf_hash_embeddings(t):
     df = t("conversations").select("conv_id", "turn", "text")
     out = models.map_distinct(df, "text", lambda d: models.embed(d, "text", models.HashEncoder))
     return out.select("conv_id", "turn", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+SPANS = "(select event_id as id, user_id, epoch(ts) as s, epoch(ts) + value as e from events where value > 0)"
+
+
+@query(f"select a.user_id, a.id as a, b.id as b from {SPANS} a join {SPANS} b on a.user_id = b.user_id and a.id <> b.id and a.s <= b.s and a.e >= b.e and floor(b.s / 3600) between floor(a.s / 3600) and floor(a.e / 3600)")
+def jn_interval_contains(t):
+    """JN-08: intervals of a key that hold another: the outer goes to every bucket it touches, the inner to its start's."""
+    ev = t("events").where("value > 0").selectExpr("user_id", "event_id as id", "unix_micros(cast(ts as timestamp)) / 1000000.0D as s0", "value").selectExpr("user_id", "id", "cast(s0 as double) as s", "cast(s0 as double) + value as e")
+    outer = ev.select("user_id", F.col("id").alias("a"), F.col("s").alias("a_s"), F.col("e").alias("a_e"), F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor(F.col("e") / 3600))).alias("k"))
+    inner = ev.select("user_id", F.col("id").alias("b"), F.col("s").alias("b_s"), F.col("e").alias("b_e"), F.floor(F.col("s") / 3600).alias("k"))
+    return outer.join(inner, ["user_id", "k"]).where("a <> b and a_s <= b_s and a_e >= b_e").select("user_id", "a", "b")
+
+
+@query("select conv_id, string_agg(cast(turn as varchar) || '-' || role, ' ' order by turn) as edges, cast(count(*) as int) as n from conversations group by conv_id")
+def str_edge_text(t):
+    """STR-34, STR-40, SET-08: edges written to text and read again."""
+    made = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws("-", x["turn"].cast("string"), x["role"])), " ").alias("edges"))
+    return made.withColumn("n", F.size(F.transform(F.split("edges", " "), lambda x: F.split(x, "-"))))
+
+
+@query("select doc_id, cast(coalesce(list_position(string_split(text, ' '), 'the'), 0) as bigint) as first_the, len(list_filter(string_split(text, ' '), lambda w: w = 'the')) as n_the from documents")
+def str_find_word(t):
+    """STR-37, STR-38, TOX-06: places of a word in a text."""
+    w = F.split("text", " ")
+    return t("documents").select("doc_id", F.array_position(w, "the").alias("first_the"), F.size(F.filter(w, lambda x: x == "the")).cast("long").alias("n_the"))
+
+
+@query("with s as (select user_id, event_type, sum(value) as v, count(*) as n from events group by all), u as (select event_type, avg(v / n) as macro, sum(v) / sum(n) as micro from s group by event_type) select event_type, round(macro, 6) as macro, round(micro, 6) as micro from u")
+def cnt_micro_macro(t):
+    """CNT-10: weighted and unweighted means of groups."""
+    s = t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    return s.groupBy("event_type").agg(F.round(F.avg(F.col("v") / F.col("n")), 6).alias("macro"), F.round(F.sum("v") / F.sum("n"), 6).alias("micro"))
