@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,12 @@ from weirline.llm.common import Scratch
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of which the lattice table has at most this many, the most frequent; places are bits of a long, hence their length.
-TABLE = 1 << 16
+TABLE = 1 << 18
 TABLE_LETTERS = 60
+#: Tasks the lattice is dealt to: its words are few bytes, but each is much work.
+LATTICE_TASKS = 64
 #: Words a worker keeps that are not in the table.
-KEPT = 1 << 18
+KEPT = 1 << 19
 
 
 class Pieces:
@@ -130,7 +133,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     inside has the bits of the places strictly between s and e.
     """
     n = F.length("word")
-    dealt = words.select("word").repartition("word")
+    dealt = words.select("word").repartition(LATTICE_TASKS, "word")
     at = dealt.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     cut = at.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
     edges = cut.withColumn("piece", F.col("word").substr(F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece")
@@ -200,6 +203,17 @@ class Words(dict):
         return ids
 
 
+_WORDS: dict[str, Words] = {}
+
+
+def _kept(token: str, table, pieces: Pieces) -> Words:
+    """The words of one encoding run, kept by the worker from task to task; another run's go."""
+    if token not in _WORDS:
+        _WORDS.clear()
+        _WORDS[token] = Words(table.value, pieces)
+    return _WORDS[token]
+
+
 def decode(ids: np.ndarray, pieces: Pieces) -> str:
     """The text of ids: pieces and bytes joined, without the first space."""
     raw = b"".join(map(pieces.bytes.__getitem__, ids.tolist()))
@@ -215,13 +229,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts: no ids, round_trip true. Repeated rows: a row each. Empty
     input: empty output. The kept columns follow id; names must not clash with it.
     """
+    token = uuid.uuid4().hex
     given = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col, model, table))
     cols = [F.col(f"`{c}`") for c in keep or []]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *cols, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        words, find = Words(given.value, pieces), re.compile(pieces.word_pattern()).findall
+        words, find = _kept(token, given, pieces), re.compile(pieces.word_pattern()).findall
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 b = big.slice(at, 1024)
