@@ -183,7 +183,7 @@ def word_table(docs: DataFrame, text_col: str = "text", model: str = MODEL, tabl
     lat = words.select("word").join(lattice(words, piece_table(spark, model), p.longest), "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<cost:double,s:int,e:int,id:int,inside:bigint>>)")))
     paths = (fold if how == "merge" else viterbi)(lat).selectExpr("word", "transform(path, x -> coalesce(x.id, -1 - x.s)) as ids")
     out = {}
-    for word, ids in paths.toLocalIterator():  # at most `table` rows
+    for word, ids in paths.collect():  # at most `table` rows of 60 letters; an iterator would run the tasks one by one
         out[word] = np.array([k for i in ids for k in ([i] if i >= 0 else p.ids(word[-1 - i]))], "<i4").tobytes()
     return out
 
