@@ -67,3 +67,12 @@ def test_empty_and_native(spark):
     out = pii.find_personal(spark.createDataFrame([], "doc_id long, text string"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 0 and "Python" not in plan and "Exchange" not in plan
+
+
+def test_base_ips_with_zero_parts(spark):
+    yes = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "0.0.0.0", "00.000.0000.8", "010.1.1.1", "255.0.00255.0"]
+    no = ["10.0.0.256", "0.0.0.0300", "999.0.0.1"]
+    df = spark.createDataFrame(list(enumerate(f"at {t} now" for t in yes + no)), "doc_id long, text string")
+    got = [(r.n_ip, r.base_sha256) for r in pii.find_personal(df).orderBy("id").collect()]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == [(1, sha(f"ip:3:{3 + len(t)}")) for t in yes] + [(0, sha(""))] * len(no)

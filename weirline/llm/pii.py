@@ -22,7 +22,7 @@ PATTERNS = {
 }
 KINDS = ("email", "ip", "card", "phone", "number", "address", "account")
 BASE = KINDS[:4]
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 # What the generators propose beyond the base.
 GENERATORS = {
