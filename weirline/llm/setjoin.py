@@ -32,6 +32,13 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return one.select("id", "n", "x", F.slice("all", F.lit(1), first)["h"].alias("pre"))
 
 
+def possible(n, m, sketches, similarity: float):
+    """Whether sets of n and m elements can reach the similarity: by their sizes, and by bits in which parity sketches differ."""
+    bits = [F.bit_count(x.bitwiseXOR(y)) for x, y in sketches]
+    common = F.least(n, m, (n + m - sum(bits[1:], bits[0])) / 2)
+    return common * (1 + similarity) + SLACK >= similarity * (n + m)
+
+
 def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, of prefixes() with a column comp: all pairs of different comp that can reach the similarity, and some that do not.
 
@@ -47,11 +54,10 @@ def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
     left = short.join(many, "h", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("blocks").alias("l")
     right = rows.join(many, "h", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks").alias("r")
     c = F.col
-    total = c("l.n") + c("r.n")
-    enough = lambda overlap: overlap * (1 + similarity) + SLACK >= similarity * total
-    apart = sum((F.bit_count(c(f"l.x{k}").bitwiseXOR(c(f"r.x{k}"))) for k in range(1, WORDS)), F.bit_count(c("l.x0").bitwiseXOR(c("r.x0"))))
     order = (c("l.n") < c("r.n")) | ((c("l.n") == c("r.n")) & (c("l.id") < c("r.id")))
     met = (c("l.h") == c("r.h")) & (c("l.block") == c("r.block")) & order & (c("l.comp") != c("r.comp"))
-    met = met & enough(F.least(c("l.n") - c("l.at"), c("r.n") - c("r.at"))) & enough((total - apart) / 2)
+    left_over = F.least(c("l.n") - c("l.at"), c("r.n") - c("r.at"))
+    met = met & (left_over * (1 + similarity) + SLACK >= similarity * (c("l.n") + c("r.n")))
+    met = met & possible(c("l.n"), c("r.n"), [(c(f"l.x{k}"), c(f"r.x{k}")) for k in range(WORDS)], similarity)
     both = left.join(right, met)
     return both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
