@@ -102,3 +102,10 @@ def test_stream_resumes(spark, tmp_path):
         spark.range(k * 5, k * 5 + 5).selectExpr("cast(id as int) as i").write.mode("append").parquet(f"{tmp_path}/in")
         map_files(spark, f"{tmp_path}/in", schema, lambda df: df.selectExpr("i * 2 as i"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted(r.i for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(0, 20, 2))
+
+
+def test_knn_keeps_lowest_ids_of_equal_vectors(spark):
+    q = spark.createDataFrame([(1, [0.6, 0.8])], "id long, vec array<double>")
+    rows = [(i, [0.6, 0.8]) for i in range(400, 0, -1)] + [(i, [0.8, 0.6]) for i in range(401, 500)]
+    base = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    assert [(r.b_id, r.rank) for r in mining.knn(q, base, 4).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
