@@ -161,7 +161,7 @@ TOKENS = "' ' || trim(regexp_replace(regexp_replace(text, '(\\p{P}|\\p{S}|\\p{Ha
 
 @query(f"select doc_id, cast({' + '.join(f'''cast(contains(k, ' {p} ') or contains(lower(k), ' {p} ') as int)''' for p in PHRASES)} as int) as n_toxic from (select doc_id, {TOKENS} as k from documents)")
 def tox_phrase_counts(t):
-    """TOX-01..04, FLT-08: phrases as whole tokens."""
+    """TOX-01, TOX-02, TOX-04, FLT-08: phrases as whole tokens."""
     return t("documents").select("doc_id", F.size(X.toxic_words(F.col("text"), PHRASES)).alias("n_toxic"))
 
 
