@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (base or f"file://{LOCAL_SCRATCH}").rstrip("/")
 
 
@@ -27,7 +30,9 @@ class Scratch:
         self.spark, self.root = spark, f"{scratch_root(spark)}/weirline-{tag}-{uuid.uuid4().hex}"
         self.n = 0
         path = self._path(self.root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)  # deleteOnExit takes no note of a folder that is not there yet
+        fs.deleteOnExit(path)
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -35,9 +40,10 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.spark.sparkContext._jvm.System.gc()  # the written job's shuffle files go once its plan is collected, not half an hour later
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -60,12 +66,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.table(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     hooks: list[DataFrame] = []
     while e.count():
-        hook = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"))
-        hook = scratch.table(hook)
+        near = scratch.table(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        hook = near
         for _ in range(2):
             nxt = hook.select(F.col("u").alias("to"), F.col("to").alias("far"))
             hook = hook.join(nxt, "to", "left").select("u", F.coalesce("far", "to").alias("to"))
         hook = scratch.table(hook)
+        scratch.drop(near)
         a, b = hook.toDF("u", "a"), hook.toDF("v", "b")
         nxt = e.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct()
         nxt = scratch.table(nxt)

@@ -1,19 +1,91 @@
-"""Exact Jaccard search where buckets are large: prefixes in order of rarity, position and parity bounds; native."""
+"""Similar sets: pairs inside buckets, and exact Jaccard search where buckets are large; native.
+
+Buckets come as met (id, band, n): members and size of each bucket of two and more. A
+bucket of up to SMALL members gives all its pairs. A larger one is dealt into chunks whose
+members meet, and all meet its least member; what that leaves out between different
+components is searched exactly by prefixes in order of rarity (close_pairs).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirline.llm.common import Scratch, connected_components
+
+#: Members up to which a bucket gives all its pairs, and about how many a chunk of a larger one has.
+SMALL, CHUNK = 256, 128
+#: Bits of the map that keeps out of an exchange what has no partner.
+BITS = 1 << 22
 #: Slots of the table of element counts; it only sets the order of elements, and any one order gives the same pairs.
 SLOTS = 1 << 16
 #: Longs of a set's parity sketch.
 WORDS = 4
-#: Rows of an element on the shorter sets' side that a task compares at a time.
+#: Rows of an element on the smaller components' side that a task compares at a time.
 BLOCK = 1024
 SLACK = 1e-9
 
 
+def bitmap(used: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bitmap of key modulo BITS over the used rows, at most BITS / 64 rows whatever the input.
+
+    It only spares the exchange of rows that have no partner; more rows fill more bits and spare less.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    return used.select(F.floor(F.pmod(key, F.lit(BITS)) / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def within(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
+    """The rows whose key has its bit set in a bitmap()."""
+    placed = rows.withColumn("word", F.floor(F.pmod(key, F.lit(BITS)) / 64)).join(F.broadcast(bits), "word")
+    return placed.where(F.getbit("bits", F.pmod(key, F.lit(64)).cast("int")) == 1).drop("word", "bits")
+
+
+def shared(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, band, n): the rows of keyed (id, band) whose band another row has; counts are pre-aggregated, and the join by band may be split."""
+    counts = scratch.table(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    return within(keyed, scratch.table(bitmap(counts, "band")), "band").join(counts, "band").select("id", "band", "n")
+
+
+def bucket_pairs(met: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b), a < b: pairs inside buckets for which possible("l", "r") holds over columns of brief (id, ...).
+
+    Pairs grow with the members, not with the square of a bucket: at most SMALL a member
+    of a small bucket, CHUNK or so of a large one.
+    """
+    chunk = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / CHUNK))).otherwise(0)
+    own = met.join(brief, "id").withColumn("chunk", chunk.cast("int"))
+    l, r = own.drop("n").alias("l"), own.drop("n").alias("r")
+    c = F.col
+    same = (c("l.band") == c("r.band")) & (c("l.chunk") == c("r.chunk")) & (c("l.id") < c("r.id"))
+    near = l.join(r, same & possible("l", "r")).select(c("l.id").alias("a"), c("r.id").alias("b"))
+    large = own.where(c("n") > SMALL)
+    heads = large.groupBy("band").agg(F.min("id").alias("id")).join(own.drop("n", "chunk"), ["band", "id"])
+    star = large.drop("n").alias("r").join(heads.alias("l"), (c("l.band") == c("r.band")) & (c("l.id") < c("r.id")) & possible("l", "r"))
+    return near.unionByName(star.select(c("l.id").alias("a"), c("r.id").alias("b"))).distinct()
+
+
+def mixed(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp) of the members of large buckets that more than one component of parts (node, component) has."""
+    large = met.where(F.col("n") > SMALL)
+    named = large.join(parts, large.id == parts.node, "left").select("id", "band", F.coalesce("component", "id").alias("comp"))
+    of = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    return scratch.table(named.join(of, "band", "left_semi").select("id", "comp").distinct())
+
+
+def joined(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """parts (node, component) after further links (u, v)."""
+    old = scratch.table(parts)
+    u, v = old.toDF("u", "cu"), old.toDF("v", "cv")
+    more = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
+    far = scratch.table(connected_components(more, scratch)).toDF("component", "far")
+    moved = old.join(far, "component", "left").select("node", F.coalesce("far", "component").alias("component"))
+    new = far.join(old, far.component == old.node, "left_anti").select(F.col("component").alias("node"), F.col("far").alias("component"))
+    return moved.unionByName(new)
+
+
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(id, n, x, pre): size, parity sketch and the first elements of each set (id, h of different longs), rarest first.
 
@@ -42,20 +114,25 @@ def possible(n, m, sketches, similarity: float):
 def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, of prefixes() with a column comp: all pairs of different comp that can reach the similarity, and some that do not.
 
-    The shorter set of a pair is found by fewer elements still. A pair meets at its first
+    Members of an element's largest component meet its other members only, so a group of
+    copies that is one component costs nothing where it is alone and is linear beside few
+    others. The shorter set of a pair is found by fewer elements still. A pair meets at a
     common element, which leaves each side at least the overlap it needs; parity sketches
     differ in at most as many bits as the sets in elements. Elements with many sets are
     dealt over blocks; every pair of them still meets.
     """
     rows = pre.select("id", "n", "comp", *(F.col("x")[k].alias(f"x{k}") for k in range(WORDS)), F.posexplode("pre").alias("at", "h"))
-    short = rows.where(F.col("at") <= F.floor((1 - similarity) / (1 + similarity) * F.col("n") + SLACK))
-    many = F.broadcast(short.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    left = short.join(many, "h", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("blocks").alias("l")
-    right = rows.join(many, "h", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks").alias("r")
+    held = rows.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    held = held.groupBy("h").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("others"))
+    held = held.where("comps > 1").select("h", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(held, "h")
     c = F.col
-    order = (c("l.n") < c("r.n")) | ((c("l.n") == c("r.n")) & (c("l.id") < c("r.id")))
-    met = (c("l.h") == c("r.h")) & (c("l.block") == c("r.block")) & order & (c("l.comp") != c("r.comp"))
+    left = rows.where(c("comp") != c("major")).withColumn("block", F.pmod(F.xxhash64("id"), c("blocks")).cast("int")).drop("blocks", "major").alias("l")
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).drop("blocks").alias("r")
+    once = (c("r.comp") == c("r.major")) | (c("l.id") < c("r.id"))
+    met = (c("l.h") == c("r.h")) & (c("l.block") == c("r.block")) & (c("l.comp") != c("r.comp")) & once
+    brief = lambda s: c(f"{s}.at") <= F.floor((1 - similarity) / (1 + similarity) * c(f"{s}.n") + SLACK)
+    met = met & F.when(c("l.n") < c("r.n"), brief("l")).when(c("l.n") > c("r.n"), brief("r")).otherwise(brief("l") | brief("r"))
     left_over = F.least(c("l.n") - c("l.at"), c("r.n") - c("r.at"))
     met = met & (left_over * (1 + similarity) + SLACK >= similarity * (c("l.n") + c("r.n")))
     met = met & possible(c("l.n"), c("r.n"), [(c(f"l.x{k}"), c(f"r.x{k}")) for k in range(WORDS)], similarity)

@@ -22,24 +22,33 @@ SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 HOT_BUCKET = 8192
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of whole UTF-8 text; zero where there is no word."""
+def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of `shingle` words of whole UTF-8 text, of all words where there are fewer; none without a word."""
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of h have, as an unsigned number; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of whole UTF-8 text; zero where there is no word."""
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed long; null text counts as empty."""
 
@@ -161,27 +170,35 @@ def hot_links(hot: DataFrame) -> DataFrame:
     return met.join(least, "at").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
 
 
+def linked(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) that connect the reps of (fp, rep), each fp once, at most RADIUS bits apart: a forest of each task's, not all links.
+
+    Each fingerprint writes its segment values and their Hamming balls; equal keys meet in
+    sorted partitions, where full distances are verified and only forest edges leave. A
+    bucket of more than HOT_BUCKET members is not compared in pairs: its members meet at
+    ball centres.
+    """
+    keyed = reps.selectExpr("fp", "rep", f"explode({segment_keys()}) as k").selectExpr("k.key as key", "fp", "rep", "k.exact as exact")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", F.desc("exact"), "fp")
+    links = scratch.table(dealt.mapInArrow(_links, "u long, v long"))
+    edges = links.where("v is not null")
+    if not links.where("v is null").isEmpty():
+        hot = links.where("v is null").select(F.col("u").alias("rep")).distinct()
+        edges = edges.union(hot_links(reps.join(hot, "rep")))
+    return edges
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id whose fingerprint is reachable by links of at most RADIUS bits.
 
     Rows with equal fingerprints count once (pre-aggregated to their smallest id), so a
-    group of copies of any size is one row in the index. Each distinct fingerprint writes
-    its segment values and their Hamming balls; equal keys meet in sorted partitions,
-    where full distances are verified and only forest edges leave. A bucket of more than
-    HOT_BUCKET members is not compared in pairs: its members meet at ball centres.
+    group of copies of any size is one row in the index.
     Null or blank text: fingerprint zero, linked like any other. Repeated ids are kept.
     Empty input: empty output.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(fingerprints(docs, id_col, text_col))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
-    keyed = reps.selectExpr("fp", "rep", f"explode({segment_keys()}) as k").selectExpr("k.key as key", "fp", "rep", "k.exact as exact")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", F.desc("exact"), "fp")
-    links = scratch.table(dealt.mapInArrow(_links, "u long, v long"))
-    edges = links.where("v is not null")
-    if not links.where("v is null").isEmpty():
-        hot = links.where("v is null").select(F.col("u").alias("rep")).distinct()
-        edges = edges.union(hot_links(reps.join(hot, "rep")))
-    parts = connected_components(edges, scratch)
+    parts = connected_components(linked(reps, scratch), scratch)
     named = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
