@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -26,7 +27,7 @@ def plain(text):
 
 def texts():
     r = np.random.default_rng(6)
-    bits = ["a@b.co", "_x@y.zz", "@", ".", "-", " ", "+1 (555) 123-4567", "+", "4111 1111 1111 1111", "4111-1111-1111-1112", "255.1.2.3", "1.2.3.256", "0001.2.3.4", "12", "7", "é", "😀", "\n", "a", "B_c", "%", "(", ")", "555-123-4567"]
+    bits = ["a@b.co", "_x@y.zz", "@", ".", "-", " ", "+1 (555) 123-4567", "+", "4111 1111 1111 1111", "4111-1111-1111-1112", "255.1.2.3", "10.0.0.1", "0", "1.2.3.256", "0001.2.3.4", "12", "7", "é", "😀", "\n", "a", "B_c", "%", "(", ")", "555-123-4567"]
     out = ["".join(r.choice(bits, r.integers(1, 14))) for _ in range(600)]
     return out + [None, "", "a" * 50_000, "1" * 50_000, "1 " * 20_000, "a@b" + ".c" * 20_000, "+1" + "2 " * 30_000, "1." * 20_000, "a@b.c " * 200]
 
@@ -55,7 +56,7 @@ def test_added_spans(spark):
 def test_held_out_precision_and_sql_equals_numpy(spark):
     model = pii.train(spark)
     rows = spark.createDataFrame(pii.examples(600, seed=77), "text string, y int")
-    x = rows.select("y", pii.F.explode(pii.candidates(pii.F.col("text"))).alias("x"))
+    x = rows.select("y", pii.F.explode(pii.F.concat(*pii.candidates(pii.F.col("text")).values())).alias("x"))
     got = x.select("y", "x.*", model.sql(pii.F.col("x")).alias("p")).collect()
     m = np.array([[r[f] for f in pii.FEATURES] for r in got])
     assert np.allclose(model.score(m), [r.p for r in got])
@@ -76,3 +77,39 @@ def test_base_ips_with_zero_parts(spark):
     got = [(r.n_ip, r.base_sha256) for r in pii.find_personal(df).orderBy("id").collect()]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == [(1, sha(f"ip:3:{3 + len(t)}")) for t in yes] + [(0, sha(""))] * len(no)
+
+
+def test_long_text_with_many_matches(spark):
+    one = "mail joe@example.org or 555-123-4567 and 10.0.0.1, jane (at) example (dot) com, +1 555 123 45 67 "
+    n = 20_000
+    df = spark.createDataFrame([(1, one * n), (2, one)], "doc_id long, text string")
+    began = time.time()
+    got = {r.id: r for r in pii.find_personal(df).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_email, got[1].n_ip, got[1].n_phone) == (n, n, n) and (got[2].n_email, got[2].n_ip, got[2].n_phone) == (1, 1, 1)
+    want = plain(one * n)
+    named = ",".join(f"{k}:{s}:{e}" for k in pii.BASE for s, e in want[k])
+    assert got[1].base_sha256 == hashlib.sha256(named.encode()).hexdigest() and got[1].spans.startswith(named + ",number:24:36,number:")
+    assert got[1].spans.count("number:") == n and got[1].spans.count("address:") == n
+
+
+def test_added_spans_equal_a_plain_version(spark):
+    """Overlaps with base spans and between kinds, against loops over all pairs."""
+    r = np.random.default_rng(11)
+    bits = ["call 555-123-4567", "415 555 2671", "(at)", "jane (at) 5551234567 (dot) com", "DE89 3704 0044 0532 0130 00", "GB12BARC20010212345678", "a@b.co", "10.0.0.1", "+1 555 123 45 67", "4111 1111 1111 1111", " ", "-", ", ", "x"]
+    rows = [(i, " ".join(r.choice(bits, r.integers(1, 12)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(spark)
+    x = pii.F.explode(pii.F.concat(*pii.candidates(pii.F.col("text")).values())).alias("x")
+    scored = df.select("doc_id", x).select("doc_id", "x.s", "x.e", "x.kind", model.sql(pii.F.col("x")).alias("p")).collect()
+    got = {q.id: q.spans for q in pii.find_personal(df).collect()}
+    n = 0
+    for i, t in rows:
+        base = [(s, e) for spans in plain(t).values() for s, e in spans]
+        own = [q for q in scored if q.doc_id == i and q.p >= model.threshold and not any(q.s < e and s < q.e for s, e in base)]
+        stay = [q for q in own if not any((-o.p, o.kind, o.s) < (-q.p, q.kind, q.s) and q.s < o.e and o.s < q.e for o in own)]
+        want = [f"{pii.KINDS[q.kind]}:{q.s}:{q.e}" for q in sorted(stay, key=lambda q: (q.kind, q.s))]
+        named = [f"{k}:{s}:{e}" for k in pii.BASE for s, e in plain(t)[k]]
+        assert got[i] == ",".join(named + want), t
+        n += len(want)
+    assert n > 100

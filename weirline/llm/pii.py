@@ -34,23 +34,44 @@ CONTEXT = 24
 CUES = r"(?i)(?:phone|tel|call|fax|mobile|cell|contact|ssn|social security|iban|account|konto|compte|cuenta|mail|reach)[^0-9]{0,12}$"
 ANTI = r"(?i)(?:order|invoice|version|build|isbn|part|item|model|page|pp|vol|no|id|date|sku|serial|total|ref)[.:#]?[^0-9]{0,8}$"
 
-SPAN = "array<struct<s:int,e:int,t:string>>"
+SPAN = "array<struct<s:int,e:int,t:string,before:string>>"
+#: Matches whose places are summed up in one go; sums of such blocks come first, so that a text of many matches stays near linear.
+BLOCK = 256
 FEATURES = ("digits", "chars", "groups", "widest", "paren", "dashes", "dots", "spaces", "kinds", "cue", "anti", "same", "ssn", "nanp", "dated", "number", "account")
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c as a variable: worked out once, however often f or a lambda in it uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def found(text: Column, pattern: str, when: Column) -> Column:
-    """Spans (s, e, t) of all matches in code points: gaps between matches and matches, lengths summed up in order."""
-    none = F.lit(None).cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    """Spans (s, e, t, before) of all matches in code points, in order; before has the CONTEXT letters ahead of a match, as
+    far as the end of the match before the last.
+
+    Gaps and matches alternate, so places are sums of lengths: summed by blocks, then inside blocks.
+    """
+
+    def spans(ms: Column, gs: Column) -> Column:
+        piece = lambda m, i: F.struct(F.get(gs, i).alias("g"), m.alias("m"), F.coalesce(F.get(ms, i - 1), F.lit("")).alias("p"))
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(ms) / BLOCK).cast("int") - 1)
+        return F.when(F.size(ms) > 0, bound(F.transform(ms, piece), lambda ps: placed(ps, blocks))).otherwise(none)
+
+    def placed(ps: Column, blocks: Column) -> Column:
+        part = lambda k: F.slice(ps, k * BLOCK + 1, F.lit(BLOCK))
+        length = lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + F.length(x["g"]) + F.length(x["m"]))
+        starts = F.aggregate(F.transform(blocks, length), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return bound(starts, lambda at: F.flatten(F.transform(blocks, lambda k: F.aggregate(part(k), F.struct(F.get(at, k).alias("at"), none.alias("out")), step, lambda a: a["out"]))))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")))).alias("out")))
+        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"), F.right(F.concat(x["p"], x["g"]), F.lit(CONTEXT)).alias("before"))
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    spans = F.aggregate(pieces, start, step, lambda a: a["out"])
-    return F.coalesce(F.when(when, spans), F.coalesce(none, F.expr(f"cast(array() as {SPAN})")))
+    none = F.expr(f"cast(array() as {SPAN})")
+    every = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    return F.coalesce(F.when(when, bound(every, lambda x: spans(x["m"], x["g"]))), none)
 
 
 def n_digits(t: Column) -> Column:
@@ -76,9 +97,8 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def features(text: Column, x: Column, kind: str) -> Column:
-    t = x["t"]
-    before = F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["s"]))
+def features(x: Column, kind: str) -> Column:
+    t, before = x["t"], x["before"]
     flag = lambda c: c.cast("int")
     groups = F.filter(F.split(t, "[^0-9]+"), lambda g: g != "")
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
@@ -105,14 +125,32 @@ def features(text: Column, x: Column, kind: str) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(kind)).alias("kind"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
 
-def candidates(text: Column) -> Column:
-    """All proposed spans beyond the base, with features; they may overlap each other and base spans."""
+def candidates(text: Column) -> dict[str, Column]:
+    """The spans proposed beyond the base by kind, with features; spans of different kinds may overlap each other and base spans."""
     when = {"number": text.rlike("[0-9]"), "address": text.rlike(r"(?i)[\(\[]\x20?at\x20?[\)\]]"), "account": text.rlike("[A-Z]{2}[0-9]{2}")}
 
     def of(kind: str) -> Column:
-        return F.transform(found(text, GENERATORS[kind], when[kind]), lambda x: features(text, x, kind))
+        return F.transform(found(text, GENERATORS[kind], when[kind]), lambda x: features(x, kind))
+
+    return {kind: of(kind) for kind in GENERATORS}
+
 
-    return F.concat(*map(of, GENERATORS))
+def first_at(spans: Column, test) -> Column:
+    """Place of the first of ordered spans for which test holds, by bisection; their number if none. Once it holds, it holds for all that follow."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = ((a["lo"] + a["hi"]) / 2).cast("int")
+        there = test(F.get(spans, mid))
+        return F.when(a["lo"] >= a["hi"], a).when(there, F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda a: a["lo"])
+
+
+def meeting(spans: Column, x: Column) -> Column:
+    """Those of ordered spans, of which no two overlap, that overlap x."""
+    lo = first_at(spans, lambda y: y["e"] > x["s"])
+    return bound(lo, lambda i: F.slice(spans, i + 1, first_at(spans, lambda y: y["s"] >= x["e"]) - i))
 
 
 # --- training -------------------------------------------------------------------------------------------------------
@@ -224,7 +262,7 @@ def boost(m: np.ndarray, y: np.ndarray, rounds: int = 12, rate: float = 0.5) ->
 def _fitted(session_id: int, n: int, seed: int) -> Trees:
     spark = SparkSession.getActiveSession()
     rows = spark.createDataFrame(examples(n, seed), "text string, y int")
-    got = rows.select("y", F.explode(candidates(F.col("text"))).alias("x")).select("y", "x.*").collect()  # a bounded set
+    got = rows.select("y", F.explode(F.concat(*candidates(F.col("text")).values())).alias("x")).select("y", "x.*").collect()  # a bounded set
     m = np.array([[r[f] for f in FEATURES] for r in got])
     return boost(m, np.array([r.y for r in got], float))
 
@@ -248,28 +286,29 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = model or train(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base_spans(F.col("text"))
-    first = rows.select("id", *(c.alias(f"_{k}") for k, c in base.items()), candidates(F.col("text")).alias("_more"))
-    scored = F.transform("_more", lambda x: F.struct((-model.sql(x)).alias("p"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    second = first.withColumn("_more", F.filter(scored, lambda x: x["p"] <= -model.threshold))
-    off = lambda x, k: ~F.exists(f"_{k}", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
-    clear = F.filter("_more", lambda x: off(x, "email") & off(x, "ip") & off(x, "card") & off(x, "phone"))
-    third = second.withColumn("_clear", clear)
-    better = lambda x, y: (F.struct(y["p"], y["kind"], y["s"]) < F.struct(x["p"], x["kind"], x["s"])) & (x["s"] < y["e"]) & (y["s"] < x["e"])
-    fourth = third.withColumn("_added", F.filter("_clear", lambda x: ~F.exists("_clear", lambda y: better(x, y))))
-    label = lambda k, x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))
+    extra = list(GENERATORS)
+    first = rows.select("id", *(c.alias(f"_{k}") for k, c in base.items()), *(c.alias(f"_{k}") for k, c in candidates(F.col("text")).items()))
+    scored = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (-model.sql(x)).alias("p"), x["kind"].alias("kind"))
+
+    def clear(k: str) -> Column:
+        likely = F.filter(F.transform(f"_{k}", scored), lambda x: x["p"] <= -model.threshold)
+        off = lambda x, b: (F.size(f"_{b}") == 0) | (F.size(meeting(F.col(f"_{b}"), x)) == 0)
+        return F.filter(likely, lambda x: off(x, "email") & off(x, "ip") & off(x, "card") & off(x, "phone"))
 
-    def listed(k: str) -> Column:
-        return F.transform(f"_{k}", lambda x: label(k, x))
+    second = first.select("id", *(f"_{k}" for k in BASE), F.array(F.struct(*(clear(k).alias(k) for k in extra))).alias("_clear"))
+    better = lambda x, y: F.struct(y["p"], y["kind"], y["s"]) < F.struct(x["p"], x["kind"], x["s"])
+    label = lambda k, x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))
 
-    def added(k: str) -> Column:
-        own = F.filter("_added", lambda x: x["kind"] == KINDS.index(k))
-        return F.transform(F.sort_array(F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), lambda x: label(k, x))
+    def added(k: str, of: Column) -> Column:
+        beaten = lambda x: [(F.size(of[b]) > 0) & F.exists(meeting(of[b], x), lambda y: better(x, y)) for b in extra if b != k]
+        return F.transform(F.filter(of[k], lambda x: ~(beaten(x)[0] | beaten(x)[1])), lambda x: label(k, x))
 
+    listed = lambda k: F.transform(f"_{k}", lambda x: label(k, x))
     named = F.concat(*map(listed, BASE))
-    more = map(added, KINDS[len(BASE) :])
-    return fourth.select(
+    more = F.transform("_clear", lambda of: F.concat(*(added(k, of) for k in extra)))[0]
+    return second.select(
         "id",
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(named, *more), ",").alias("spans"),
+        F.array_join(F.concat(named, more), ",").alias("spans"),
     )
