@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from weirline.llm import decontaminate as dc
 
 
@@ -72,3 +74,32 @@ def test_tables_and_passes(spark):
     assert left.columns == df.columns and sorted(str(r.text) for r in left.collect()) == sorted(str(t) for t in docs if not brute(t, items))
     assert len(list(dc.passes(bench, pass_bytes=400))) > 2
     assert dc.matches(df, bench.limit(0)).count() == 0 and dc.clean(df, bench.limit(0)).count() == len(docs) and dc.matches(df.limit(0), bench).count() == 0
+
+
+def test_several_passes_and_share_of_the_index(spark):
+    docs, items = cases()
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, more = (sorted((r.id, r.item_id, round(r.similarity, 9), r.start) for r in dc.matches(df, bench, pass_bytes=n).collect()) for n in (1 << 20, 600))
+    assert one == more and sorted(r.doc_id for r in dc.clean(df, bench, pass_bytes=600).collect()) == sorted(set(range(len(docs))) - {r[0] for r in one})
+    rng = np.random.default_rng(1)
+    g = dc.Group(200, list(range(300)), [rng.integers(0, 1 << 63, 196).astype(np.uint64) for _ in range(300)]).build()
+    prints = rng.integers(0, 1 << 63, (2000, 2)).astype(np.uint64)
+    looked = sum(int((np.searchsorted(near, v, "right") - np.searchsorted(near, v)).sum()) for v, (near, _) in zip(prints.view(np.uint16).reshape(-1, 8).T, g.table))
+    assert looked < 0.1 * 300 * 2000 and len(g.candidates(prints)[0]) == 0
+
+
+def test_share_found_at_the_similarity():
+    """Windows at 0.8 to 0.82 of items of 30 to 300 shingles: the radius finds over 99 in 100."""
+    rng = np.random.default_rng(2)
+    found = n = 0
+    for size in (30, 60, 120, 300):
+        base = [rng.integers(0, 1 << 63, size).astype(np.uint64) for _ in range(250)]
+        g = dc.Group(size, list(range(250)), base).build()
+        cut = int(size * 2 / 18)  # shingles replaced: (size - cut) / (size + cut) is 0.8 or little more
+        for k, h in enumerate(base):
+            v = h.copy()
+            v[rng.choice(size, cut, replace=False)] = rng.integers(0, 1 << 63, cut).astype(np.uint64)
+            _, i = g.candidates(dc.window_prints(v, np.array([0]), size))
+            found, n = found + (k in i), n + 1
+    assert found >= 0.99 * n
