@@ -7,7 +7,7 @@ TEXTS = [None, "", "one", "hello world " * 3000, "é😀", "", "", "a\n\nb", "x
 
 
 def plain(t):
-    return len(tc.encoder(tc.VOCAB).encode_ordinary(t)) if t else 0
+    return len(tc.encoder(tc.VOCAB)[0].encode_ordinary(t)) if t else 0
 
 
 @pytest.mark.parametrize("block_bytes", [2, 16, 4096, 1 << 20])
@@ -20,6 +20,23 @@ def test_counts(spark, block_bytes, monkeypatch):
     assert got == sorted((i, plain(t)) for i, t, _ in rows)
 
 
+def test_long_runs(spark, monkeypatch):
+    enc, ranks = tc.encoder(tc.VOCAB)
+    r = np.random.default_rng(3)
+    bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "a", "Zé", "12", "'s", "'", "...", "日本", "😀", " word", "\r\n "]
+    texts = ["".join(r.choice(bits, r.integers(1, 400), p=None)) + str(r.choice(bits)) * int(r.integers(0, 300)) + "".join(r.choice(bits, 20)) for _ in range(150)]
+    monkeypatch.setattr(tc, "LONG", 40)
+    for t in texts:
+        assert tc.token_ids(t, enc, ranks) == enc.encode_ordinary(t), t
+    monkeypatch.undo()
+    long = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "a" * 300_000, "ab1" * 100_000, " \t" * 500_000 + "x"]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r.id: r.n_tokens for r in tc.count_tokens(df).collect()}
+    assert len(got) == 5 and all(n > 0 for n in got.values())
+    for t in long:
+        assert b"".join(enc.decode_single_token_bytes(i) for i in tc.token_ids(t, enc, ranks)) == t.encode()
+
+
 def test_empty(spark):
     assert tc.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

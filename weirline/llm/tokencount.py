@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +20,8 @@ VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: End-of-document identifier: the free one after the vocabulary.
 EOD = 50256
 BLOCK_BYTES = 1 << 20
+#: Letters of a pretoken that the library is given at most.
+LONG = 4096
 #: Blocks whose prefixes one task sums up; above that, sums of such groups.
 SUPER = 1024
 
@@ -27,11 +31,55 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @lru_cache(maxsize=2)
 def encoder(vocab: str):
+    """The library's encoder and the ranks of its vocabulary."""
     import tiktoken
 
     with open(vocab, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+@lru_cache(maxsize=1)
+def splitter():
+    import regex
+
+    return regex.compile(PATTERN)
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pretoken of any length: the pair of neighbours of least rank merges first, the leftmost of equals; n log n."""
+    n = len(piece)
+    end, prev, alive, heap = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n, []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < n and (rank := ranks.get(piece[a : end[b]])) is not None:
+            heapq.heappush(heap, (rank, a, b, end[b]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, a, b, e = heapq.heappop(heap)
+        if not (alive[a] and alive[b] and end[a] == b and end[b] == e):
+            continue
+        alive[b], end[a] = 0, e
+        if e < n:
+            prev[e] = a
+        offer(a)
+        if prev[a] >= 0:
+            offer(prev[a])
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def token_ids(text: str, enc, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a whole text. A text with a run over LONG letters is split into pretokens here, and those over LONG are
+    merged here too: on such runs the library's own splitter overflows its stack. The ids are the same either way."""
+    if len(text) <= LONG or (max(map(len, text.split()), default=0) <= LONG and not re.search(f"\\s{{{LONG}}}", text)):
+        return enc.encode_ordinary(text)
+    out: list[int] = []
+    for m in splitter().finditer(text):
+        out += enc.encode_ordinary(m[0]) if len(m[0]) <= LONG else merge(m[0].encode(), ranks)
+    return out
 
 
 def flat_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -42,7 +90,7 @@ def flat_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file = encoder(vocab), f"part-{TaskContext.get().partitionId():06d}"
+        (enc, ranks), file = encoder(vocab), f"part-{TaskContext.get().partitionId():06d}"
         rest, block, ordinal = b"", 0, 0
 
         def rows(payloads: list[bytes], ids: list | None) -> pa.RecordBatch:
@@ -58,7 +106,7 @@ def flat_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 b = big.slice(at, 512)
                 parts = [rest]
                 for t in b.column(1):
-                    parts.append(np.array([*(enc.encode_ordinary(t.as_py()) if t.is_valid else ()), EOD], "<u2").tobytes())
+                    parts.append(np.array([*(token_ids(t.as_py(), enc, ranks) if t.is_valid else ()), EOD], "<u2").tobytes())
                 flat = b"".join(parts)
                 cut = len(flat) // block_bytes * block_bytes
                 payloads, rest = [flat[i : i + block_bytes] for i in range(0, cut, block_bytes)], flat[cut:]
