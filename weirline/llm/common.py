@@ -39,10 +39,11 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        path, schema = f"{self.root}/{self.n}", df.schema
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        del df
         self.spark.sparkContext._jvm.System.gc()  # the written job's shuffle files go once its plan is collected, not half an hour later
         return out
 

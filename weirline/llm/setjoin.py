@@ -1,8 +1,9 @@
 """Similar sets: pairs inside buckets, and exact Jaccard search where buckets are large; native.
 
-Buckets come as met (id, band, n): members and size of each bucket of two and more. A
-bucket of up to SMALL members gives all its pairs. A larger one is dealt into chunks whose
-members meet, and all meet its least member; what that leaves out between different
+Buckets come as met (id, band, n): members and size of each bucket of two and more. All
+members meet the least one first (head_pairs). Where a bucket is then in more than one
+component, up to SMALL members give all pairs between components; a larger bucket is dealt
+into chunks whose members meet (bucket_pairs), and what that leaves out between different
 components is searched exactly by prefixes in order of rarity (close_pairs).
 """
 
@@ -49,30 +50,33 @@ def shared(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return within(keyed, scratch.table(bitmap(counts, "band")), "band").join(counts, "band").select("id", "band", "n")
 
 
-def bucket_pairs(met: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b), a < b: pairs inside buckets for which possible("l", "r") holds over columns of brief (id, ...).
+def head_pairs(met: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's least one, where possible("l", "r") holds over columns of brief (id, ...)."""
+    heads = met.groupBy("band").agg(F.min("id").alias("head"))
+    pairs = met.join(heads, "band").where("id > head").select("head", "id").distinct()
+    l, r = brief.alias("l"), brief.alias("r")
+    both = pairs.join(r, "id").select("head", F.struct(*(F.col(f"r.{x}") for x in brief.columns)).alias("r"))
+    return both.join(l, F.col("head") == F.col("l.id")).where(possible("l", "r")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def open_members(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, band, n, comp) of the buckets that more than one component of parts (node, component) has."""
+    named = met.join(parts, met.id == parts.node, "left").select("id", "band", "n", F.coalesce("component", "id").alias("comp"))
+    of = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    return named.join(of, "band", "left_semi")
+
+
+def bucket_pairs(members: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b), a < b: pairs of different components inside buckets of open_members() for which possible("l", "r") holds.
 
     Pairs grow with the members, not with the square of a bucket: at most SMALL a member
     of a small bucket, CHUNK or so of a large one.
     """
     chunk = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / CHUNK))).otherwise(0)
-    own = met.join(brief, "id").withColumn("chunk", chunk.cast("int"))
-    l, r = own.drop("n").alias("l"), own.drop("n").alias("r")
-    c = F.col
-    same = (c("l.band") == c("r.band")) & (c("l.chunk") == c("r.chunk")) & (c("l.id") < c("r.id"))
-    near = l.join(r, same & possible("l", "r")).select(c("l.id").alias("a"), c("r.id").alias("b"))
-    large = own.where(c("n") > SMALL)
-    heads = large.groupBy("band").agg(F.min("id").alias("id")).join(own.drop("n", "chunk"), ["band", "id"])
-    star = large.drop("n").alias("r").join(heads.alias("l"), (c("l.band") == c("r.band")) & (c("l.id") < c("r.id")) & possible("l", "r"))
-    return near.unionByName(star.select(c("l.id").alias("a"), c("r.id").alias("b"))).distinct()
-
-
-def mixed(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, comp) of the members of large buckets that more than one component of parts (node, component) has."""
-    large = met.where(F.col("n") > SMALL)
-    named = large.join(parts, large.id == parts.node, "left").select("id", "band", F.coalesce("component", "id").alias("comp"))
-    of = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    return scratch.table(named.join(of, "band", "left_semi").select("id", "comp").distinct())
+    own = members.withColumn("chunk", chunk.cast("int")).drop("n").join(brief, "id")
+    l, r, c = own.alias("l"), own.alias("r"), F.col
+    same = (c("l.band") == c("r.band")) & (c("l.chunk") == c("r.chunk")) & (c("l.id") < c("r.id")) & (c("l.comp") != c("r.comp"))
+    return l.join(r, same & possible("l", "r")).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct()
 
 
 def joined(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
