@@ -22,10 +22,20 @@ def staged(df: DataFrame, src: str, tgt: str, order: list, max_target: int | Non
     return out
 
 
-def seen_flags(df: DataFrame, src: str, tgt: str, order: list) -> DataFrame:
-    """rn_pair, rn_src, rn_tgt over all rows: rejected rows count as seen."""
-    rn = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*order))
-    return df.withColumns({"rn_pair": rn(src, tgt), "rn_src": rn(src), "rn_tgt": rn(tgt)})
+def seen_flags(df: DataFrame, src: str, tgt: str, order: list[str]) -> DataFrame:
+    """first_pair, first_src, first_tgt: whether a row is the first of its pair, source and target by `order`; rejected rows count as seen.
+
+    Firsts are partial minima a key, joined back, so a source with a third of all rows is
+    not gathered anywhere; the join may be split.
+    """
+    at = F.struct(*order)
+    for name, key in (("first_pair", [src, tgt]), ("first_src", [src]), ("first_tgt", [tgt])):
+        first = df.groupBy(F.xxhash64(*key).alias("_h"), *(F.col(k).alias(f"_{k}") for k in key)).agg(F.min(at).alias("_first"))
+        same = F.xxhash64(*key) == F.col("_h")
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        df = df.join(first, same).withColumn(name, at == F.col("_first")).drop("_h", "_first", *(f"_{k}" for k in key))
+    return df
 
 
 def without_seen(train: DataFrame, evaluation: DataFrame, key: Column, name: str = "_key") -> DataFrame:

@@ -10,13 +10,44 @@ def shard_of(key: Column, n: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int")
 
 
+def md5_shard(key: Column, n: int, seed: int = 0) -> Column:
+    """Shard by a hash that any engine has."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).cast("int")
+
+
+def positions(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
+    """df with pos, the place of each row from 0 in the order of a unique numeric column.
+
+    Rows are counted by range of the column and numbered inside ranges; only the counts of
+    at most `buckets` ranges are ordered in one task.
+    """
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
+    placed = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return placed.join(F.broadcast(starts), "_b").withColumn("pos", F.col("_start") + inside).drop("_b", "_start")
+
+
+def equal_chunks(df: DataFrame, n: int) -> DataFrame:
+    """df of positions() with chunk from 1 to n: near equal, the first ones larger by one."""
+    rows = df.count()
+    small, larger = divmod(rows, n)
+    head = larger * (small + 1)
+    pos = F.col("pos")
+    at = F.when(pos < head, F.floor(pos / (small + 1))).otherwise(larger + F.floor((pos - head) / max(1, small)))
+    return df.withColumn("chunk", (at + 1).cast("int"))
+
+
 def round_robin(pos: Column, n: int) -> Column:
     return F.pmod(pos, F.lit(n)).cast("int")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """At most n rows a group, those first by hash of key."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 

@@ -10,7 +10,7 @@ from weirline.plans.registry import query
 
 @query("select lang, source, count(*) as n, sum(n_chars) as chars, grouping_id(lang, source) as g from documents group by grouping sets ((lang, source), (lang), (source), ())")
 def cnt_grouping_sets(t):
-    """CNT-04, CNT-05, CNT-09: counts over several key lists in one pass."""
+    """CNT-04, CNT-09: counts over several key lists in one pass."""
     g = t("documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id("lang", "source").alias("g"))
     return g
 
@@ -42,7 +42,7 @@ def cnt_correct_pairs(t):
 
 @query("select round(corr(c_acctbal, c_nationkey), 6) as pearson from customer")
 def cnt_pearson(t):
-    """CNT-18, CNT-33."""
+    """CNT-18."""
     return t("customer").agg(F.round(F.corr("c_acctbal", "c_nationkey"), 6).alias("pearson"))
 
 
@@ -73,13 +73,13 @@ def cnt_outlier_files(t):
 
 @query("select o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) as best from orders group by o_custkey")
 def cnt_best_of(t):
-    """CNT-23, CNT-29: the row with the best score."""
+    """CNT-23: the row with the best score."""
     return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
 
 
 @query("select event_type, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, min(value) as lo, round(quantile_cont(value, 0.5), 6) as med, max(value) as hi from events group by event_type")
 def cnt_describe(t):
-    """CNT-19, CNT-26, CNT-36: description of a score."""
+    """CNT-26: description of a score."""
     v = F.col("value")
     return t("events").groupBy("event_type").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.min(v).alias("lo"), F.round(F.percentile(v, 0.5), 6).alias("med"), F.max(v).alias("hi"))
 
@@ -100,7 +100,7 @@ def cnt_pair_frequency(t):
 
 @query("select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by l_returnflag, l_linestatus")
 def cnt_lineitem_summary(t):
-    """CNT-02, CNT-03: field-wise sums."""
+    """CNT-02: field-wise sums."""
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
@@ -109,7 +109,7 @@ EDGES = "(select user_id, list_distinct(list(event_type)) filter (event_id % 2 =
 
 @query("with e as (select distinct user_id, event_type from events where event_id % 2 = 0), s as (select distinct user_id, event_type from events where event_id % 3 = 0), m as (select user_id, count(*) as n from e join s using (user_id, event_type) group by user_id), a as (select user_id, count(*) as ne from e group by user_id), b as (select user_id, count(*) as ns from s group by user_id) select user_id, round(coalesce(n, 0) / ne, 6) as precision, round(coalesce(n, 0) / ns, 6) as recall from a join b using (user_id) left join m using (user_id)")
 def set_edge_metrics(t):
-    """SET-08, SET-09, CNT-11, CNT-12: precision and recall of edge sets."""
+    """SET-09: precision and recall of edge sets."""
     e = t("events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("h"), F.collect_set(F.when(F.col("event_id") % 3 == 0, F.col("event_type"))).alias("s"))
     n = F.size(F.array_intersect("h", "s"))
     return e.where("size(h) > 0 and size(s) > 0").select("user_id", F.round(n / F.size("h"), 6).alias("precision"), F.round(n / F.size("s"), 6).alias("recall"))

@@ -20,8 +20,9 @@ def src_round_robin(t):
 
 @query("select doc_id, ntile(7) over (order by doc_id) as chunk from documents")
 def src_equal_chunks(t):
-    """SRC-27: near-equal chunks, the first ones larger by one."""
-    return t("documents").select("doc_id", F.ntile(7).over(Window.orderBy("doc_id")).alias("chunk"))
+    """SRC-27: near-equal chunks, the first ones larger by one; positions come from counts of ranges, no task sees all rows."""
+    d = sampling.positions(t("documents").select("doc_id"), "doc_id")
+    return sampling.equal_chunks(d, 7).select("doc_id", "chunk")
 
 
 @query("select doc_id, lang from documents order by doc_id limit 20")
@@ -42,10 +43,17 @@ def jn_positional_pairs(t):
     return pairs(t).select("conv_id", "turn", F.length("src").cast("long").alias("n_src"), F.length("tgt").cast("long").alias("n_tgt"))
 
 
-@query("select vec_id, cast(len(embedding) as int) as dim from embeddings where vec_id % 3 = 0")
+@query("select vec_id, cast(len(embedding) as int) as dim from embeddings")
 def src_embedding_rows(t):
-    """SRC-30, SRC-33, SNK-07, ARR-08: vectors as rows, a subset by id, lengths."""
-    return t("embeddings").where("vec_id % 3 = 0").select("vec_id", F.size("embedding").alias("dim"))
+    """SRC-30, SRC-33, ARR-08: vectors as rows and their lengths."""
+    return t("embeddings").select("vec_id", F.size("embedding").alias("dim"))
+
+
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double, 3)) as v from embeddings where vec_id in (select doc_id from labels)")
+def snk_embedding_subset(t):
+    """SNK-07: the rows of a matrix that an id list names, in fewer digits."""
+    ids = t("labels").select(F.col("doc_id").alias("vec_id"))
+    return t("embeddings").join(ids, "vec_id", "left_semi").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("v"))
 
 
 @query(f"select min(doc_id) as doc_id, count(*) as n from (select doc_id, {KEY} as k from documents) group by k")
@@ -76,7 +84,7 @@ row_number() over (partition by src order by conv_id, turn) as rs, row_number()
 def set_dedup_types(t):
     """SET-06: pair, source, target and both."""
     f = dedup.seen_flags(pairs(t), "src", "tgt", ["conv_id", "turn"])
-    p, s, g = F.col("rn_pair") == 1, F.col("rn_src") == 1, F.col("rn_tgt") == 1
+    p, s, g = F.col("first_pair"), F.col("first_src"), F.col("first_tgt")
     return f.select("conv_id", "turn", p.alias("neither"), (p & s).alias("by_src"), (p & g).alias("by_tgt"), (p & s & g).alias("by_both"))
 
 
@@ -98,21 +106,21 @@ def srt_top_k_per_key(t):
 select lang, n, cast(least(n, floor(p / (select sum(p) from p) * 500)) as bigint) as sample from p"""
 )
 def srt_temperature_sizes(t):
-    """SRT-07, SET-10: sample sizes smoothed by temperature."""
+    """SRT-07: sample sizes smoothed by temperature."""
     counts = t("documents").groupBy("lang").agg(F.count("*").alias("n"))
     return sampling.temperature_sizes(counts, "lang", "n", 500, 5.0).withColumn("sample", F.col("sample").cast("long"))
 
 
-@query()
+@query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5('0:' || doc_id), doc_id) as r from documents) where r <= 20")
 def srt_hash_sample(t):
-    """SRT-06, SRT-08, SRT-09, SNK-11: at most 20 rows a language, those first by keyed hash."""
+    """SRT-08: at most 20 rows a language, those first by seeded hash."""
     return sampling.sample_per_group(t("documents").select("doc_id", "lang"), "lang", "doc_id", 20)
 
 
-@query()
+@query("select cast(('0x' || substr(md5('7:' || doc_id), 1, 8))::bigint % 8 as int) as shard, count(*) as n from documents group by 1")
 def snk_hash_shards(t):
-    """SNK-10: rows of each shard by keyed hash."""
-    return t("documents").groupBy(sampling.shard_of(F.col("doc_id"), 8).alias("shard")).agg(F.count("*").alias("n"))
+    """SNK-10: rows of each shard by seeded hash."""
+    return t("documents").groupBy(sampling.md5_shard(F.col("doc_id"), 8, 7).alias("shard")).agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey, cast(floor((row_number() over (partition by o_custkey order by o_orderkey) - 1) / 4) as bigint) as batch from orders")
@@ -122,13 +130,13 @@ def srt_batches(t):
     return t("orders").select("o_orderkey", F.floor((r - 1) / 4).alias("batch"))
 
 
-WORDS = "string_split(split_part(text, chr(10), 1), ' ')"
+WORDS = "string_split(text, ' ')"
 
 
 @query(f"select doc_id, unnest({WORDS}) as word, unnest(range(1, len({WORDS}) + 1)) as pos from documents")
 def arr_parallel_explode(t):
     """ARR-01: parallel explode."""
-    w = F.split(F.element_at(F.split("text", "\n"), 1), " ")
+    w = F.split("text", " ")
     df = t("documents").select("doc_id", w.alias("word"), F.sequence(F.lit(1).cast("long"), F.size(w).cast("long")).alias("pos"))
     return nested.explode_with_null(df, "word", "pos")
 
@@ -136,7 +144,7 @@ def arr_parallel_explode(t):
 @query(f"select doc_id, unnest(range(0, cast(ceil(len({WORDS}) / 5) as bigint))) as k, list_slice({WORDS}, 1 + 5 * unnest(range(0, cast(ceil(len({WORDS}) / 5) as bigint))), 5 + 5 * unnest(range(0, cast(ceil(len({WORDS}) / 5) as bigint)))) as part from documents")
 def arr_chunks(t):
     """ARR-02: chunks of at most five."""
-    w = F.split(F.element_at(F.split("text", "\n"), 1), " ")
+    w = F.split("text", " ")
     return t("documents").select("doc_id", F.posexplode(nested.chunks(w, 5)).alias("k", "part")).withColumn("k", F.col("k").cast("long"))
 
 
@@ -145,13 +153,13 @@ def arr_chunks(t):
 select lang, cast(floor(pos / 7) as bigint) as pack, list(v order by pos) as items, list(doc_id order by pos) as rows from p group by lang, floor(pos / 7)"""
 )
 def arr_pack(t):
-    """ARR-03, WIN-14: fixed packs across rows."""
+    """ARR-03: fixed packs across rows."""
     return nested.pack(t("documents").select("lang", "doc_id", F.split("source", "r").alias("v")), "v", "doc_id", 7, "lang")
 
 
 @query("select vec_id, list_concat(embedding[1:2], embedding[5:6]) as v, [embedding[1], embedding[5]] as f, [label] as l from embeddings")
 def arr_hstack_first(t):
-    """ARR-04..07: concatenated lists, first of each, a scalar as a list."""
+    """ARR-05..07: concatenated lists, first of each, a scalar as a list."""
     a, b = F.slice("embedding", 1, 2), F.slice("embedding", 5, 2)
     return t("embeddings").select("vec_id", F.concat(a, b).alias("v"), nested.first_of_each(F.array(a, b)).alias("f"), F.array("label").alias("l"))
 
@@ -165,7 +173,7 @@ def arr_dictionary(t):
 
 @query("select event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as pause from events")
 def win_pause(t):
-    """WIN-02, WIN-07, WIN-08: pause since the row before."""
+    """WIN-02: pause since the row before."""
     us = F.expr("unix_micros(cast(ts as timestamp))")
     return t("events").select("event_id", "user_id", (us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("pause"))
 
@@ -175,7 +183,7 @@ ISLAND = "select *, sum(n) over (partition by user_id order by ts, event_id rows
 
 @query(f"with i as ({ISLAND}) select user_id, cast(island as bigint) as island, min(event_type) as event_type, count(*) as n, round(sum(value), 4) as value from i group by user_id, island")
 def win_islands(t):
-    """WIN-03, WIN-13, CNT-20: runs of equal rows, collapsed."""
+    """WIN-03, WIN-13: runs of equal rows, collapsed."""
     gap = lambda w: F.col("event_type") != F.lag("event_type").over(w)
     i = intervals.islands(t("events"), "user_id", ["ts", "event_id"], gap)
     return i.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
@@ -183,7 +191,7 @@ def win_islands(t):
 
 @query("with w as (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as b, lead(role, 2) over (partition by conv_id order by turn) as c from conversations) select role, b, c, count(*) as n from w where c is not null group by role, b, c")
 def win_ngrams(t):
-    """WIN-05, WIN-06: n-grams of consecutive rows."""
+    """WIN-05: n-grams of consecutive rows."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     g = t("conversations").select("role", F.lead("role").over(w).alias("b"), F.lead("role", 2).over(w).alias("c"))
     return g.where("c is not null").groupBy("role", "b", "c").agg(F.count("*").alias("n"))

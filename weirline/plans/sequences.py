@@ -14,7 +14,7 @@ BY_USER = "partition by user_id order by ts, event_id"
 
 @query("select event_id, round(value * 1000 / 16, 4) as ms, value > 1 and value * 1000 > 5000 as keep from events where value is not null")
 def tim_durations(t):
-    """TIM-01, TIM-02, FLT-16: durations from frames and thresholds."""
+    """TIM-01, FLT-16: durations from frames and thresholds."""
     return t("events").where("value is not null").select("event_id", F.round(F.col("value") * 1000 / 16, 4).alias("ms"), ((F.col("value") > 1) & (F.col("value") * 1000 > 5000)).alias("keep"))
 
 
@@ -27,14 +27,14 @@ def vec_softmax(t):
 
 @query("select vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::double))), 4) as l1, round(10 * log10(list_dot_product(embedding::double[], embedding::double[]) / list_sum(list_transform(embedding, lambda x: pow(x::double - 0.5, 2)))), 4) as snr from embeddings")
 def vec_snr(t):
-    """VEC-16, VEC-21: sums over a signal and its difference."""
+    """VEC-21: sums over a signal and its difference."""
     s = lambda f: F.aggregate(F.transform("embedding", lambda x: f(x.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     return t("embeddings").select("vec_id", F.round(s(F.abs), 4).alias("l1"), F.round(10 * F.log10(s(lambda x: x * x) / s(lambda x: F.pow(x - 0.5, F.lit(2)))), 4).alias("snr"))
 
 
 @query("select doc_id, 'd' as kind from documents union all select item_id, 'b' from benchmark")
 def set_union(t):
-    """SET-01, FLT-20: union of tables of one schema."""
+    """SET-01: union of tables of one schema."""
     return t("documents").select("doc_id", F.lit("d").alias("kind")).unionByName(t("benchmark").select(F.col("item_id").alias("doc_id"), F.lit("b").alias("kind")))
 
 
@@ -112,14 +112,14 @@ def jn_interval_contains(t):
 
 @query("select conv_id, string_agg(cast(turn as varchar) || '-' || role, ' ' order by turn) as edges, cast(count(*) as int) as n from conversations group by conv_id")
 def str_edge_text(t):
-    """STR-34, STR-40, SET-08: edges written to text and read again."""
+    """STR-34: edges written to text and read again."""
     made = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws("-", x["turn"].cast("string"), x["role"])), " ").alias("edges"))
     return made.withColumn("n", F.size(F.transform(F.split("edges", " "), lambda x: F.split(x, "-"))))
 
 
 @query("select doc_id, cast(coalesce(list_position(string_split(text, ' '), 'the'), 0) as bigint) as first_the, len(list_filter(string_split(text, ' '), lambda w: w = 'the')) as n_the from documents")
 def str_find_word(t):
-    """STR-37, STR-38, TOX-06: places of a word in a text."""
+    """STR-37: places of a word in a text."""
     w = F.split("text", " ")
     return t("documents").select("doc_id", F.array_position(w, "the").alias("first_the"), F.size(F.filter(w, lambda x: x == "the")).cast("long").alias("n_the"))
 

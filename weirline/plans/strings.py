@@ -14,15 +14,15 @@ def sq(s: str) -> str:
 
 
 def n_of(letters: str, t: str = "t") -> str:
-    return f"(length({t}) - length(translate({t}, {sq(letters)}, '')))"
+    return f"(length({t}) - length(regexp_replace({t}, {sq(X.any_of(letters))}, '', 'g')))"
 
 
 LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) as t from documents)"
-EMOJI = "regexp_replace(t, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]', '', 'g')"
+EMOJI = f"regexp_replace(t, '{X.EMOJI}', '', 'g')"
 GATE = f"""case when length(t) < 5 then 'min' when length(t) > 500 then 'max'
   when ({n_of(X.ASCII_PUNCT)} + {n_of(X.EXTRA_PUNCT)}) / length(t) > 0.2 then 'punct'
   when {n_of(X.DIGITS)} / length(t) > 0.2 then 'number'
-  when {n_of(' ')} / length(t) < 0.05 then 'space_low' when {n_of(' ')} / length(t) > 0.3 then 'space_high'
+  when {n_of(X.WHITESPACE)} / length(t) < 0.05 then 'space_low' when {n_of(X.WHITESPACE)} / length(t) > 0.3 then 'space_high'
   when (length(t) - length({EMOJI})) / length(t) > 0.1 then 'emoji'
   when coalesce((select max(n) from (select count(*) as n from (select i - row_number() over (partition by c order by i) as g, c
     from (select unnest(range(1, length(t) + 1)) as i, unnest(string_split(t, '')) as c)) group by c, g)), 0) > 20 then 'run' end"""
@@ -46,11 +46,11 @@ def flt_quality_gate_counts(t):
     return filters.counters(out, "source", REASONS)
 
 
-@query(f"select doc_id, cast({n_of(X.ASCII_PUNCT, 'text')} as int) as n_punct, cast({n_of(X.DIGITS, 'text')} as int) as n_digit, cast({n_of(' ', 'text')} as int) as n_space from documents")
+@query(f"select doc_id, cast({n_of(X.ASCII_PUNCT, 'text')} as int) as n_punct, cast({n_of(X.DIGITS, 'text')} as int) as n_digit, cast({n_of(X.WHITESPACE, 'text')} as int) as n_space from documents")
 def flt_char_classes(t):
     """FLT-03: letters of a class."""
     c = F.col("text")
-    return t("documents").select("doc_id", *(X.count_class(c, k).alias(n) for n, k in (("n_punct", X.ASCII_PUNCT), ("n_digit", X.DIGITS), ("n_space", " "))))
+    return t("documents").select("doc_id", *(X.count_class(c, k).alias(n) for n, k in (("n_punct", X.ASCII_PUNCT), ("n_digit", X.DIGITS), ("n_space", X.WHITESPACE))))
 
 
 PAIRS = """(select u.conv_id, u.turn, u.text as src, a.text as tgt from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1)"""
@@ -83,17 +83,19 @@ def flt_include_exclude(t):
     return t("documents").where("n_chars > 1000").where(~F.col("source").isin("src0", "src1") & F.col("lang").isin("en", "de")).select("doc_id", "lang")
 
 
-TAIL = "chr(8212)"
-TRANSLATED = f"replace(replace(replace(translate(text, {sq(''.join(X.ONE_TO_ONE))}, {sq(''.join(X.ONE_TO_ONE.values()))}), '．', '. '), '…', '...'), '—', ' - ')"
+def replaced(t: str, values: dict[str, str]) -> str:
+    for a, b in values.items():
+        t = f"replace({t}, {sq(a)}, {sq(b)})"
+    return t
 
 
-@query(f"select doc_id, md5({TRANSLATED}) as h from documents")
+@query(f"select doc_id, md5({replaced('text', X.UNICODE_PUNCT)}) as h from documents")
 def str_replace_unicode_punct(t):
     """STR-01."""
     return t("documents").select("doc_id", F.md5(X.replace_unicode_punct(F.col("text")).cast("binary")).alias("h"))
 
 
-@query(f"select doc_id, md5(translate(text, {sq(''.join([*X.ONE_TO_ONE, *X.LONGER]))}, '')) as h from documents")
+@query(f"select doc_id, md5({replaced('text', dict.fromkeys(X.UNICODE_PUNCT, ''))}) as h from documents")
 def str_remove_unicode_punct(t):
     """STR-02."""
     return t("documents").select("doc_id", F.md5(X.remove_unicode_punct(F.col("text")).cast("binary")).alias("h"))
@@ -105,22 +107,62 @@ def str_remove_non_printing(t):
     return t("documents").select("doc_id", F.md5(X.remove_non_printing(F.col("text")).cast("binary")).alias("h"))
 
 
-KEY = f"regexp_replace(translate(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\p{{Nd}}', '0', 'g'), {sq(''.join([*X.ONE_TO_ONE, *X.LONGER]) + X.ASCII_PUNCT)}, ''), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')"
+STRIPPED = f"regexp_replace(text, '^{X.BLANK}|{X.BLANK}$', '', 'g')"
+KEY = f"regexp_replace(regexp_replace(regexp_replace(lower({STRIPPED}), '\\p{{Nd}}', '0', 'g'), {sq(X.any_of(''.join(X.UNICODE_PUNCT)))}, '', 'g'), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')"
 
 
 @query(f"select doc_id, md5({KEY}) as k from documents")
 def str_dedup_key(t):
-    """STR-05, STR-06."""
+    """STR-05: only UNICODE_PUNCT and control letters go; ASCII punctuation stays, so C++ and C differ."""
     return t("documents").select("doc_id", F.md5(X.dedup_key(F.col("text")).cast("binary")).alias("k"))
 
 
+@query(f"""with x as (select doc_id, strip_accents(lower({STRIPPED})) as a from documents)
+select doc_id, md5(regexp_replace({replaced("regexp_replace(a, '\\p{Nd}', '0', 'g')", X.UNICODE_PUNCT)}, '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')) as h from x""")
+def str_normalize(t):
+    """STR-03, STR-06: all switches of the general normaliser on."""
+    return t("documents").select("doc_id", F.md5(X.normalize(F.col("text")).cast("binary")).alias("h"))
+
+
+def spaced(t: str, language: str) -> str:
+    for r in X.spacing_rules(language):
+        t = f"regexp_replace({t}, {sq(r[1])}, {sq(r[2].replace('$', chr(92)))}, 'g')" if r[0] == "re" else f"replace({t}, {sq(r[0])}, {sq(r[1])})"
+    return t
+
+
+@query(f"select doc_id, md5(case lang when 'de' then {spaced('text', 'de')} when 'cs' then {spaced('text', 'cs')} else {spaced('text', 'en')} end) as h from documents where text is not null")
+def str_normalize_spacing(t):
+    """STR-07: rules of the row's language."""
+    c = F.col("text")
+    out = F.when(F.col("lang") == "de", X.normalize_spacing(c, "de")).when(F.col("lang") == "cs", X.normalize_spacing(c, "cs")).otherwise(X.normalize_spacing(c))
+    return t("documents").where("text is not null").select("doc_id", F.md5(out.cast("binary")).alias("h"))
+
+
+@query(f"select doc_id, md5(regexp_replace(regexp_replace(nfc_normalize(text), '^{X.BLANK}|{X.BLANK}$', '', 'g'), '{X.BLANK}', ' ', 'g')) as h from documents")
+def str_normalize_unicode(t):
+    """STR-08: compatibility composition and single spaces; the SQL composes canonically, the same where a text has no compatibility letter."""
+    return t("documents").select("doc_id", F.md5(X.normalize_unicode(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("select doc_id, md5(regexp_replace(text, '\\p{C}', ' ', 'g')) as h from documents")
+def str_replace_non_printing(t):
+    """STR-12."""
+    return t("documents").select("doc_id", F.md5(X.replace_non_printing(F.col("text")).cast("binary")).alias("h"))
+
+
+@query(f"select page_id, md5(regexp_replace(html, '{X.EMOJI}\\s*', '', 'g')) as h from pages")
+def str_remove_emoji(t):
+    """STR-23, STR-24: emoji and the white space behind them."""
+    return t("pages").select("page_id", F.md5(X.remove_emoji(F.col("html")).cast("binary")).alias("h"))
+
+
 @query("select doc_id, cast(greatest(0, length(replace(text, ' ', '')) - 5) as int) as n from documents")
 def str_ngrams(t):
-    """STR-09: six-letter n-grams without spaces."""
+    """STR-09: six-letter n-grams without spaces; how many and what they are."""
     return t("documents").select("doc_id", F.size(X.ngrams(F.col("text"), 6)).alias("n"))
 
 
-@query("""select page_id, md5(regexp_replace(html, '(?i)(?:https?://|www\\.)[^\\s<>"]+', ' ', 'g')) as h from pages""")
+@query(f"select page_id, md5(regexp_replace(html, {sq(X.URL)}, ' ', 'g')) as h from pages")
 def str_replace_urls(t):
     """STR-10, STR-13."""
     return t("pages").select("page_id", F.md5(X.replace_urls(F.col("html")).cast("binary")).alias("h"))
@@ -132,25 +174,29 @@ def str_replace_tags(t):
     return t("pages").select("page_id", F.md5(X.replace_tags(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("select doc_id, md5(regexp_replace(regexp_replace(lower(text), '[^0-9a-z_]+', ' ', 'g'), '^| $', '', 'g')) as h from documents where lang = 'en'")
+@query("select doc_id, md5(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) || ' ') as h from documents")
 def str_toxicity_format(t):
-    """STR-32: lower case, other than word letters as a space."""
-    f = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^0-9a-z_]+", " "), "^| $", "")
-    return t("documents").where("lang = 'en'").select("doc_id", F.md5(f.cast("binary")).alias("h"))
+    """STR-32: lower case, other than word letters as one space, a space at both ends; all languages."""
+    f = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}_]+", " ")), F.lit(" "))
+    return t("documents").select("doc_id", F.md5(f.cast("binary")).alias("h"))
 
 
-SCRIPT_N = "(length(text) - length(regexp_replace(text, '[A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')))"
+COUNTS = ", ".join(f"struct_pack(n := length(r) - length(regexp_replace(r, '{X.script_class(n)}', '', 'g')), s := '{n}', k := {-k})" for k, n in enumerate(X.SCRIPTS))
 
 
-@query(f"select doc_id, case when {SCRIPT_N} > 0 then 'Latn' end as script from documents")
+@query(f"""with r as (select doc_id, regexp_replace(text, {sq(X.UBIQUITOUS)}, '', 'g') as r from documents where text is not null), c as (select doc_id, list_filter([{COUNTS}], lambda x: x.n > 0) as c from r),
+m as (select doc_id, c, list_sum(list_transform(c, lambda x: x.n)) as total, list_max(list_transform(c, lambda x: x.n)) as top from c)
+select doc_id, case when total > 0 and not (len(c) > 1 and top * len(c) = total) then list_filter(c, lambda x: x.n = top)[1].s end as script,
+round(case when total > 0 and not (len(c) > 1 and top * len(c) = total) then top / total else 0 end, 6) as share from m""")
 def str_script(t):
-    """STR-20, CNT-27: script by code point ranges."""
-    return t("documents").select("doc_id", X.script(F.col("text"))["script"].alias("script"))
+    """STR-20, CNT-27: script by code point ranges and its share."""
+    s = X.script(F.col("text"))
+    return t("documents").where("text is not null").select("doc_id", s["script"].alias("script"), F.round(s["share"], 6).alias("share"))
 
 
 @query("select page_id, regexp_extract(url, '^(?:https?://)?([^/]+)', 1) as host, split_part(regexp_extract(url, '^(?:https?://)?([^/]+)', 1), '.', -1) as top from pages")
 def str_parse_url(t):
-    """STR-33, SRC-36: typed fields by pattern."""
+    """Fields of a URL by pattern."""
     host = F.regexp_extract("url", "^(?:https?://)?([^/]+)", 1)
     return t("pages").select("page_id", host.alias("host"), F.element_at(F.split(host, "\\."), -1).alias("top"))
 
@@ -161,7 +207,7 @@ TOKENS = "' ' || trim(regexp_replace(regexp_replace(text, '(\\p{P}|\\p{S}|\\p{Ha
 
 @query(f"select doc_id, cast({' + '.join(f'''cast(contains(k, ' {p} ') or contains(lower(k), ' {p} ') as int)''' for p in PHRASES)} as int) as n_toxic from (select doc_id, {TOKENS} as k from documents)")
 def tox_phrase_counts(t):
-    """TOX-01, TOX-02, TOX-04, FLT-08: phrases as whole tokens."""
+    """TOX-01, TOX-02, TOX-04: phrases as whole tokens."""
     return t("documents").select("doc_id", F.size(X.toxic_words(F.col("text"), PHRASES)).alias("n_toxic"))
 
 
@@ -170,14 +216,14 @@ def tox_phrase_counts(t):
 select lang, count(*) as n, count(*) filter (hit) as n_hit, round(avg(hit::int), 6) as share from d group by lang"""
 )
 def tox_report(t):
-    """CNT-08, TOX-05, FLT-21: matched rows and share by language."""
+    """CNT-08, TOX-05: matched rows and share by language."""
     hit = F.size(X.toxic_words(F.col("text"), ["worthless"])) > 0
     return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("n_hit"), F.round(F.avg(hit.cast("int")), 6).alias("share"))
 
 
 @query("select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1] as first_word, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as n_words from documents")
 def prj_split_fields(t):
-    """PRJ-01, PRJ-03..05, CNT-25: fields of a line."""
+    """PRJ-01: fields of a line."""
     w = F.filter(F.split("text", "\\s+"), lambda x: x != "")
     return t("documents").select("doc_id", F.get(w, F.lit(0)).alias("first_word"), F.size(w).cast("long").alias("n_words"))
 
