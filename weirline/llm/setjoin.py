@@ -1,8 +1,8 @@
 """Similar sets: pairs inside buckets, and exact Jaccard search where buckets are large; native.
 
 Buckets come as met (id, band, n): members and size of each bucket of two and more. All
-members meet the least one first (head_pairs). Where a bucket is then in more than one
-component, up to SMALL members give all pairs between components; a larger bucket is dealt
+members meet the least one first, then one that was linked with it (head_pairs). Where a
+bucket is then in more than one component, up to SMALL members give all pairs between components; a larger bucket is dealt
 into chunks whose members meet (bucket_pairs), and what that leaves out between different
 components is searched exactly by prefixes in order of rarity (close_pairs).
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weirline.llm.common import Scratch, connected_components
 
 #: Members up to which a bucket gives all its pairs, and about how many a chunk of a larger one has.
-SMALL, CHUNK = 256, 128
+SMALL, CHUNK = 256, 32
 #: Bits of the map that keeps out of an exchange what has no partner.
 BITS = 1 << 22
 #: Slots of the table of element counts; it only sets the order of elements, and any one order gives the same pairs.
@@ -50,15 +50,30 @@ def shared(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return within(keyed, scratch.table(bitmap(counts, "band")), "band").join(counts, "band").select("id", "band", "n")
 
 
-def head_pairs(met: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's least one, where possible("l", "r") holds over columns of brief (id, ...)."""
-    heads = met.groupBy("band").agg(F.min("id").alias("head"))
-    pairs = met.join(heads, "band").where("id > head").select("head", "id").distinct()
+def head_pairs(met: DataFrame, heads: DataFrame, brief: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's head of heads (band, head), where possible("l", "r") holds over columns of brief (id, ...)."""
+    pairs = met.join(heads, "band").where("id <> head").select(F.least("id", "head").alias("head"), F.greatest("id", "head").alias("id")).distinct()
     l, r = brief.alias("l"), brief.alias("r")
     both = pairs.join(r, "id").select("head", F.struct(*(F.col(f"r.{x}") for x in brief.columns)).alias("r"))
     return both.join(l, F.col("head") == F.col("l.id")).where(possible("l", "r")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
+def first_heads(met: DataFrame) -> DataFrame:
+    """(band, head): the least member of each bucket."""
+    return met.groupBy("band").agg(F.min("id").alias("head"))
+
+
+def next_heads(members: DataFrame, tried: DataFrame) -> DataFrame:
+    """(band, head) of open_members(): the least member, not tried (id) as a head yet, of each bucket's largest component.
+
+    Where variants of one line fill a bucket, the first head is a variant and finds the
+    line; the line, tried next, finds the others.
+    """
+    size = members.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "comp")).alias("m")).where("m.c > 1")
+    own = members.join(size.select("band", F.col("m.comp").alias("comp")), ["band", "comp"])
+    return first_heads(own.join(tried, "id", "left_anti"))
+
+
 def open_members(met: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, band, n, comp) of the buckets that more than one component of parts (node, component) has."""
     named = met.join(parts, met.id == parts.node, "left").select("id", "band", "n", F.coalesce("component", "id").alias("comp"))
