@@ -36,3 +36,22 @@ def length_reason(src: Column, tgt: Column, min_len=5, max_len=500, max_ratio=2.
         .when((a > max_len) | (b > max_len), "max_len")
         .when(F.greatest(a / b, b / a) > max_ratio, "max_len_ratio")
     )
+
+
+def language_accepts(src_prob: Column, tgt_prob: Column, src_least: float | None, tgt_least: float | None, excluded: Column | None = None) -> Column:
+    """Whether both sides reach their thresholds; no threshold, and excluded rows, pass."""
+    ok = F.lit(True)
+    for prob, least in ((src_prob, src_least), (tgt_prob, tgt_least)):
+        ok = ok & (prob >= least) if least else ok
+    return ok if excluded is None else excluded | ok
+
+
+def reject_repeats(df: DataFrame, key: list[str], order: list[str], name: str, reason: str = "reject_reason") -> DataFrame:
+    """Rejects passed rows whose key an earlier passed row has: minima a key, pre-aggregated and joined back."""
+    at = F.struct(*order)
+    first = df.where(F.col(reason).isNull()).groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.min(at).alias("_first"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = df.join(first, same, "left")
+    return met.withColumn(reason, F.when(F.col(reason).isNull() & (at != F.col("_first")), name).otherwise(F.col(reason))).drop("_first", *(f"_{k}" for k in key))
