@@ -23,12 +23,12 @@ class Scratch:
     """Tables written below the shared folder to cut lineage.
 
     A lost executor costs nothing: what was written is committed Parquet that every
-    executor can read. Tables go when the session's file system closes, or earlier by drop().
+    executor can read. Tables go by drop() or last(), the rest when the session's file system closes.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{scratch_root(spark)}/weirline-{tag}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.live = 0, []
         path = self._path(self.root)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.mkdirs(path)  # deleteOnExit takes no note of a folder that is not there yet
@@ -43,14 +43,27 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.live.append(path)
         del df
         self.spark.sparkContext._jvm.System.gc()  # the written job's shuffle files go once its plan is collected, not half an hour later
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self._path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete([t._scratch_path for t in tables])
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Writes a result that is small against its inputs and drops all tables before it."""
+        before = list(self.live)
+        out = self.table(df)
+        self._delete(before)
+        return out
+
+    def _delete(self, names: list[str]) -> None:
+        for name in names:
+            if name in self.live:
+                self.live.remove(name)
+                path = self._path(name)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

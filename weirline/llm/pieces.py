@@ -102,7 +102,7 @@ def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def frequent_words(docs: DataFrame, scratch: Scratch, text_col: str = "text", model: str = MODEL, table: int = TABLE) -> DataFrame:
+def frequent_words(docs: DataFrame, scratch: Scratch, text_col: str = "text", model: str = MODEL, table: int = TABLE, made: list[DataFrame] | None = None) -> DataFrame:
     """(word, n): the words that occur at least c times in all documents, for the least c that leaves at most `table` words.
 
     Words are counted over all whole texts with partial aggregates; c comes from a
@@ -111,6 +111,8 @@ def frequent_words(docs: DataFrame, scratch: Scratch, text_col: str = "text", mo
     text = F.concat(F.lit(MARK), F.translate(F.col(text_col).cast("string"), " ", MARK))
     words = docs.where(F.col(text_col).cast("string") != "").select(F.explode(F.regexp_extract_all(text, F.lit(load(model).word_pattern()), F.lit(0))).alias("word"))
     counted = scratch.table(words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.length("word") <= TABLE_LETTERS)))
+    if made is not None:
+        made.append(counted)
     least, total = 2, 0
     for r in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():  # one row per distinct count
         total += r.k
@@ -179,12 +181,14 @@ def word_table(docs: DataFrame, text_col: str = "text", model: str = MODEL, tabl
     """Ids, 32 bits each, of at most `table` frequent words (60 letters at most), from the relational lattice."""
     spark = docs.sparkSession
     p, scratch = load(model), Scratch(spark, "pieces")
-    words = frequent_words(docs, scratch, text_col, model, table)
+    made: list[DataFrame] = []
+    words = frequent_words(docs, scratch, text_col, model, table, made)
     lat = words.select("word").join(lattice(words, piece_table(spark, model), p.longest), "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<cost:double,s:int,e:int,id:int,inside:bigint>>)")))
     paths = (fold if how == "merge" else viterbi)(lat).selectExpr("word", "transform(path, x -> coalesce(x.id, -1 - x.s)) as ids")
     out = {}
     for word, ids in paths.collect():  # at most `table` rows of 60 letters; an iterator would run the tasks one by one
         out[word] = np.array([k for i in ids for k in ([i] if i >= 0 else p.ids(word[-1 - i]))], "<i4").tobytes()
+    scratch.drop(*made)
     return out
 
 

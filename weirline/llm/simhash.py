@@ -201,4 +201,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.table(fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
     parts = connected_components(linked(reps, scratch), scratch)
     named = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
+    return scratch.last(fps.join(named, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component")))

@@ -193,4 +193,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = scratch.table(scan_blocks(flat.where("block is not null")))
     counted = stitch(scanned)
     named = flat.where("block is null").select("file", "ordinal", F.posexplode("ids").alias("k", "id")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "id")
-    return named.join(counted, ["file", "ordinal"]).select("id", "n_tokens")
+    return scratch.last(named.join(counted, ["file", "ordinal"]).select("id", "n_tokens"))
