@@ -61,3 +61,29 @@ def map_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame | None],
                 yield out
 
     return df.mapInPandas(run, schema)
+
+
+def apply_over_groups(df: DataFrame, keys: list[str | None], mapper: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """mapper over df, which works within groups of keys by windows; without a key all rows are one group. Positions that df carries restore the order."""
+    return mapper(df if any(keys) else df.withColumn("_all", F.lit(0)))
+
+
+def table_hash(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(n, content, columns): rows, a sum of row hashes, which no order changes, and a hash of the column names."""
+    digest = F.md5(F.concat_ws("\u0001", *(F.col(c).cast("string") for c in cols)).cast("binary"))
+    content = F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
+    return df.agg(F.count("*").alias("n"), content.alias("content")).withColumn("columns", F.md5(F.lit(",".join(cols)).cast("binary")))
+
+
+def infer_schema(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame | None], rows: int = 10, tries: int = 3) -> str:
+    """DDL of a batch mapper's output, from its output on the first rows, ten times as many on each further try."""
+    for k in range(tries):
+        out = mapper(df.limit(rows * 10**k).toPandas())
+        if out is not None and len(out):
+            return df.sparkSession.createDataFrame(out).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    raise ValueError("the mapper gave no rows")
+
+
+def map_reduce_lines(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: list) -> DataFrame:
+    """Batches mapped to partial results, merged by aggregates."""
+    return map_batches(df, mapper, schema).agg(*merge)

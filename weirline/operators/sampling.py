@@ -57,3 +57,16 @@ def temperature_sizes(counts: DataFrame, group: str, n: str, total: int, tempera
     p = counts.crossJoin(F.broadcast(all_n)).withColumn("_p", F.pow(F.col(n) / F.col("_all"), F.lit(1 / temperature)))
     total_p = p.agg(F.sum("_p").alias("_sum"))
     return p.crossJoin(F.broadcast(total_p)).select(group, n, F.least(F.col(n), F.floor(F.col("_p") / F.col("_sum") * total)).alias("sample"))
+
+
+def offsets(df: DataFrame, size: str, order: str, within: str, name: str, buckets: int = 4096) -> DataFrame:
+    """df with the sum of sizes before each row inside its `within` group: by range of the unique numeric order column first, then inside ranges."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
+    cut = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(F.col(within).alias("_w"), F.col("_b").alias("_c")).agg(F.sum(size).alias("_n"))
+    sums = sums.select("_w", "_c", F.coalesce(F.sum("_n").over(ahead(Window.partitionBy("_w").orderBy("_c"))), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(size).over(ahead(Window.partitionBy(within, "_b").orderBy(order))), F.lit(0))
+    placed = cut.join(sums, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn(name, F.col("_start") + inside).drop("_b", "_w", "_c", "_start")

@@ -51,26 +51,40 @@ def win_boundaries(t):
     return t("events").select("event_id", F.coalesce(F.col("event_type") != F.lag("event_type").over(w), F.lit(True)).alias("boundary"))
 
 
-@query()
+FIRST = "select *, row_number() over (partition by user_id order by s, event_id) as r from (select user_id, event_id, epoch(ts)::double as s, epoch(ts) + value * 60 as e, value as score from events where value > 0)"
+
+
+@query(
+    f"""with recursive x as ({FIRST}), k as (select user_id, r, s, e, score, event_id, 1 as slot from x where r = 1 union all
+  select x.user_id, x.r, case when o > 0.1 and k.score >= x.score then k.s else x.s end, case when o > 0.1 and k.score >= x.score then k.e else x.e end, case when o > 0.1 and k.score >= x.score then k.score else x.score end,
+    case when o > 0.1 and k.score >= x.score then k.event_id else x.event_id end, case when o > 0.1 then k.slot else k.slot + 1 end
+  from k, lateral (select x.*, greatest(0, least(x.e, k.e) - greatest(x.s, k.s)) / greatest(x.e - x.s, k.e - k.s) as o from x where x.user_id = k.user_id and x.r = k.r + 1) x)
+select user_id as key, arg_max(event_id, r) as event_id from k group by user_id, slot"""
+)
 def win_greedy_suppression(t):
-    """WIN-09, JN-15: of overlapping segments of a user the better stays."""
-    e = t("events").where("value > 0").selectExpr("user_id as key", "unix_micros(cast(ts as timestamp)) / 1000000.0D as start", "value").selectExpr("key", "cast(start as double) as start", "cast(start as double) + value as end", "value as score")
-    return S.suppress_groups(e, "key")
+    """WIN-09, JN-15: in order of start, a segment of a user that overlaps the last one kept stays only in its place and if it scores higher."""
+    e = t("events").where("value > 0").selectExpr("user_id as key", "event_id", "unix_micros(cast(ts as timestamp)) / 1000000.0D as s0", "value as score").selectExpr("key", "event_id", "cast(s0 as double) as start", "cast(s0 as double) + score * 60 as end", "score")
+    return S.suppress_groups(e, "key").select("key", "event_id")
 
 
-@query()
+@query(
+    """with recursive x as (select user_id, event_id, coalesce(value, 0) as d, event_type = 'error' as fresh, event_type in ('click', 'view') as may, row_number() over (partition by user_id order by ts, event_id) as r from events),
+k as (select user_id, r, event_id, 0::double as total, 0 as segment from x where r = 1 union all
+  select x.user_id, x.r, x.event_id, case when k.total + x.d >= 120 and x.may then 0 else k.total + x.d end, k.segment + case when x.fresh or (k.total + x.d >= 120 and x.may) then 1 else 0 end from k join x on x.user_id = k.user_id and x.r = k.r + 1)
+select event_id, user_id, segment from k"""
+)
 def win_capped_segments(t):
-    """WIN-04, SRT-10: segments of at most 120 units in order."""
+    """WIN-04: segments from boundary flags and a duration cap that acts at split points."""
 
     def cut(g):
-        return g.assign(segment=S.capped_segments(g["value"].fillna(0.0), 120.0))[["event_id", "user_id", "segment"]]
+        return g.assign(segment=S.capped_segments(g["value"].fillna(0.0), g["event_type"] == "error", g["event_type"].isin(["click", "view"]), 120.0))[["event_id", "user_id", "segment"]]
 
-    return S.per_group(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], cut, "event_id long, user_id long, segment int")
+    return S.per_group(t("events").select("event_id", "user_id", "ts", "value", "event_type"), ["user_id"], ["ts", "event_id"], cut, "event_id long, user_id long, segment int")
 
 
 @query()
 def win_hysteresis(t):
-    """WIN-10..12: spans over a threshold with hysteresis."""
+    """WIN-10: spans over a threshold with hysteresis."""
     import pandas as pd
 
     def spans(g):
@@ -81,13 +95,47 @@ def win_hysteresis(t):
 
 
 @query()
+def win_divide(t):
+    """WIN-11: divide and conquer on the probabilities of each user's frames."""
+    import pandas as pd
+
+    def spans(g):
+        found = S.divide(g["value"].fillna(0.0).to_numpy() / 200, 20, 3, 0.1)
+        return pd.DataFrame({"user_id": g["user_id"].iloc[:1].repeat(len(found)).to_numpy(), "first": [a for a, _ in found], "last": [b for _, b in found]})
+
+    return S.per_group(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], spans, "user_id long, first int, last int")
+
+
+@query(
+    f"""with x as ({FIRST}), g as (select *, coalesce(s - lag(e) over (partition by user_id order by r) > 20000, false)::int as far from x), n as (select *, sum(far) over (partition by user_id order by r) as run from g)
+select a.user_id, a.event_id as first, b.event_id as last from n a join n b on a.user_id = b.user_id and a.run = b.run and b.r >= a.r where b.e - a.s > 3000 and b.e - a.s < 40000"""
+)
+def win_candidate_spans(t):
+    """WIN-12: spans from each segment of a user to those that follow without a wide gap, under length limits; a join inside runs of close segments."""
+    w = Window.partitionBy("user_id").orderBy("s", "event_id")
+    e = t("events").where("value > 0").selectExpr("user_id", "event_id", "unix_micros(cast(ts as timestamp)) / 1000000.0D as s0", "value").selectExpr("user_id", "event_id", "cast(s0 as double) as s", "cast(s0 as double) + value * 60 as e")
+    e = e.withColumn("far", F.coalesce(F.col("s") - F.lag("e").over(w) > 20000, F.lit(False)).cast("int")).withColumn("run", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cell = F.floor(F.col("s") / 40000)  # ends lie within 40000 of the start: the next cell at most
+    a = e.select("user_id", "run", F.col("event_id").alias("first"), F.col("s").alias("a_s"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = e.select("user_id", "run", F.col("event_id").alias("last"), F.col("s").alias("b_s"), F.col("e").alias("b_e"), cell.alias("cell"))
+    met = a.join(b, ["user_id", "run", "cell"]).where("b_s > a_s or (b_s = a_s and last >= first)").where("b_e - a_s > 3000 and b_e - a_s < 40000")
+    return met.select("user_id", "first", "last")
+
+
+@query(
+    """with recursive x as (select doc_id, source || ':' || (doc_id % 64) as part, n_chars, row_number() over (partition by source, doc_id % 64 order by n_chars, doc_id) as r from documents),
+k as (select part, r, doc_id, n_chars, 0 as batch, 1 as first from x where r = 1 union all
+  select x.part, x.r, x.doc_id, x.n_chars, k.batch + cut, case when cut = 1 then x.r else k.first end from k, lateral (select x.*, case when x.n_chars * (x.r - k.first + 1) > 20000 then 1 else 0 end as cut from x where x.part = k.part and x.r = k.r + 1) x)
+select doc_id, part, batch from k"""
+)
 def src_padded_batches(t):
-    """SRC-31, SRC-32, SRT-05: padded-token batches within each source."""
+    """SRC-32, SRT-05: batches by length within a padded size, in 64 parts of each source so that none is gathered whole."""
 
     def batch(g):
-        return g.assign(batch=S.padded_batches(g["n_chars"], 20_000))[["doc_id", "source", "batch"]]
+        return g.assign(batch=S.padded_batches(g["n_chars"], 20_000))[["doc_id", "part", "batch"]]
 
-    return S.per_group(t("documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], batch, "doc_id long, source string, batch int")
+    part = F.concat_ws(":", "source", (F.col("doc_id") % 64).cast("string"))
+    return S.per_group(t("documents").select("doc_id", part.alias("part"), "n_chars"), ["part"], ["doc_id"], batch, "doc_id long, part string, batch int")
 
 
 @query()
