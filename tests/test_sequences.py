@@ -19,7 +19,12 @@ def test_suppress_golden(spark):
 
 
 def test_state_machines():
-    assert S.capped_segments([1, 1, 3, 1, 5], 4) == [0, 0, 1, 1, 2]
+    no, yes = [False] * 6, [True] * 6
+    assert S.capped_segments([9, 1, 3, 1, 5, 1], no, yes, 4) == [0, 0, 1, 1, 2, 2]
+    assert S.capped_segments([9, 1, 3, 1, 5, 1], [False, True, False, False, True, False], no, 4) == [0, 1, 1, 1, 2, 2]
+    assert S.capped_segments([0, 4, 0, 4], no, [False, False, True, True], 4) == [0, 0, 1, 2]
+    assert S.divide(np.array([0.0, 0.9, 0.8, 0.1, 0.9, 0.9, 0.0]), 3, 1, 0.5) == [(1, 3), (4, 6)] and S.divide(np.zeros(4), 9, 1, 0.5) == [(0, 0)]
+    assert S.candidate_spans([(0, 1), (2, 3), (9, 10)], 0.5, 4, 2) == [(0, 1), (0, 3), (2, 3), (9, 10)]
     assert S.hysteresis([0, 0.9, 0.4, 0.2, 0.1, 0.9, 0.9], 0.5, 0.3, 1, 2) == [(1, 3), (5, 7)]
     assert S.hysteresis([], 0.5, 0.3) == []
     lengths = [3, 1, 9, 2, 2]
@@ -30,6 +35,42 @@ def test_state_machines():
     assert S.monotone_pairs(np.array([[0.9, 0.1], [0.8, 0.7]])) == [(0, 0), (1, 1)]
 
 
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    r = np.random.default_rng(4)
+    for n, m in ((1, 1), (3, 3), (2, 5), (5, 2), (4, 6)):
+        c = r.random((n, m)).round(1)
+        got = S.assign(c)
+        small, large = sorted((n, m))
+        best = min(sum(c[(i, j) if n <= m else (j, i)] for i, j in zip(range(small), p)) for p in permutations(range(large), small))
+        assert len(got) == small and sum(c[i, j] for i, j in got) == pytest.approx(best) and len({i for i, _ in got}) == len({j for _, j in got}) == small
+
+
+def test_suppression_looks_at_the_last_kept_only():
+    rows = [(0.0, 10.0, 5.0), (1.0, 4.0, 1.0), (8.0, 18.0, 6.0), (17.5, 30.0, 1.0)]
+    assert S.suppress(rows, 0.1) == [2, 3] and S.suppress(rows, 0.5) == [0, 1, 2, 3]
+
+
+def test_mapper_resumes_rebatches_and_infers(spark, tmp_path):
+    from weirline.streaming.resume import Input, Output, rebatched, run_mapper
+
+    import pandas as pd
+
+    sizes = [len(b) for b in rebatched((pd.DataFrame({"i": range(n)}) for n in (3, 0, 5, 1, 9)), 4)]
+    assert sizes == [4, 4, 4, 4, 2]
+    source = Input(f"{tmp_path}/in", "i int, part int", where="i % 2 = 0", batch_size=7)
+    for k in range(2):
+        spark.range(k * 50, k * 50 + 50).selectExpr("cast(id as int) as i", "cast(id % 3 as int) as part").write.mode("append").parquet(f"{tmp_path}/in")
+        run_mapper(spark, source, lambda b: b.assign(j=b["i"] * 2), Output(f"{tmp_path}/out", ("part",), 5), f"{tmp_path}/cp")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.i, r.j) for r in got.collect()) == [(i, 2 * i) for i in range(0, 100, 2)] and got.columns[-1] == "part"
+    with pytest.raises(ValueError):
+        models.infer_schema(spark.range(1), lambda b: None)
+    total = models.map_reduce_lines(spark.range(10), lambda b: pd.DataFrame({"n": [len(b)]}), "n long", [S.F.sum("n").alias("n")])
+    assert total.first().n == 10
+
+
 def test_pauses_and_groups(spark):
     df = spark.createDataFrame([([0.0, 1.5, 2.0], [1.0, 1.95, 3.0]), ([0.0], [1.0])], "s array<double>, e array<double>")
     got = [[round(x, 3) for x in r.p] for r in df.select(S.pauses_after(S.F.col("s"), S.F.col("e")).alias("p")).collect()]

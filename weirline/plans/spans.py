@@ -161,7 +161,7 @@ def jn_ivf(t):
     """JN-06, VEC-12, VEC-13: neighbours of every fiftieth row through an inverted file over all rows; cells fitted to at most 16,384 rows."""
     rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     cells = mining.train_cells(rows, 16)
-    return mining.search_cells(rows.where("id % 50 = 0"), mining.populate(rows, cells), cells, 4, 8).select("q_id", "b_id", "rank", F.round("sim", 5).alias("sim"))
+    return mining.search_cells(rows.where("id % 50 = 0"), mining.populate(rows, cells), cells, 4, 12).select("q_id", "b_id", "rank", F.round("sim", 5).alias("sim"))
 
 
 @query("with c as (select lang, count(*) as n from documents where lang is not null group by lang) select lang, cast(least(ceil(n / 37), ceil((select sum(n) from c) / 500)) as bigint) as shards from c")

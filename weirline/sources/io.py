@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirline.sources.files import numbered_lines
+
 # Decimal and binary size units.
 UNITS = {"": 1, "K": 1024, "M": 1024**2, "G": 1024**3, "T": 1024**4, "P": 1024**5, "KB": 1000, "MB": 1000**2, "GB": 1000**3, "TB": 1000**4, "PB": 1000**5}
 
@@ -31,14 +33,17 @@ def read_delimited(spark: SparkSession, path, schema: str | None = None, sep: st
     return df.withColumn(path_column, F.col("_metadata.file_path")) if path_column else df
 
 
-def read_json_lines(spark: SparkSession, path, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_json_lines(spark: SparkSession, path: str, schema: str, first: int | None = None) -> DataFrame:
+    """Top-level keys of JSON lines, of the first lines of each file only where `first` says so."""
+    if first is None:
+        return spark.read.schema(schema).json(path)
+    lines = numbered_lines(spark, path).where(F.col("line_no") < first)
+    return lines.select(F.from_json("text", schema).alias("r")).select("r.*")
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, line_no, text): numbers from 0 in each file, by byte order of its splits."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_at")) - 1).drop("_at")
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line_no, text): numbers from 0 in each file."""
+    return numbered_lines(spark, *paths).select("file", "line_no", "text")
 
 
 def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
