@@ -41,7 +41,7 @@ def test_counts_equal_plain_python(spark):
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want, i
         assert got[i].base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (got[i].base_failed and got[i].kept)
-    assert got[7].kept and not got[10].kept and got[10].reasons == ["few_words", "word_length", "stop_words"]
+    assert got[7].kept and not got[10].kept and got[10].reasons == ["few_words", "word_length"]
 
 
 def test_filter_keeps_clashing_columns_and_rows(spark):
@@ -56,3 +56,12 @@ def test_filter_keeps_clashing_columns_and_rows(spark):
 def test_plan_has_no_python_and_no_shuffle(spark):
     plan = quality.judged(spark.createDataFrame([("k", 1, "t", "n", "w")], SCHEMA).select("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_texts_of_other_languages_pass_the_stop_word_rule(spark):
+    text = " ".join(f"słowo{i}" for i in range(40))
+    rows = [(0, text, "pl"), (1, text, None), (2, text, "en"), (3, "the cat and the dog of it " + text, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.kept for r in quality.judged(df, keep=["doc_id"]).orderBy("doc_id").collect()] == [True, True, False, True]
+    assert sorted(r.doc_id for r in quality.filtered(df).collect()) == [0, 1, 3]
+    assert quality.filtered(df.drop("lang")).count() == 4 and quality.filtered(df.withColumnRenamed("lang", "n_words")).count() == 4

@@ -13,12 +13,12 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
 # The stop words counted, by language.
-STOP_WORDS = (
-    "the of and to in is that it for on with as was be by are this at from or "  # English
-    "de la le les et des en un du une est que qui dans par pour sur pas au aux "  # French
-    "der die und in den von zu das mit sich auf für ist im dem nicht ein eine als auch "  # German
-    "la que el en y a los se del las un por con no una su para es al"  # Spanish
-).split()
+STOP_WORDS = {
+    "en": "the of and to in is that it for on with as was be by are this at from or",
+    "fr": "de la le les et des en un du une est que qui dans par pour sur pas au aux",
+    "de": "der die und in den von zu das mit sich auf für ist im dem nicht ein eine als auch",
+    "es": "de la que el en y a los se del las un por con no una su para es al",
+}
 
 
 @dataclass(frozen=True)
@@ -48,9 +48,20 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def stop_words(words: Column, lang: Column | None, lists: dict[str, str]) -> Column:
+    """Words of a text that are stop words of its language; null, which no rule rejects, where the language is none of the lists' or unknown."""
+    out = F.lit(None).cast("long")
+    for name, listed in lists.items() if lang is not None else ():
+        out = F.when(lang == name, F.size(F.filter(words, lambda w: F.lower(w).isin(*listed.split()))).cast("long")).otherwise(out)  # noqa: B023
+    return out
+
+
+def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, lang_col: str | None = "lang", lists: dict[str, str] = STOP_WORDS) -> DataFrame:
     """The kept columns with n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words.
 
+    n_stop_words is by the language that lang_col names and null where lists have none for
+    it, or where there is no such column: a text of another language is not held against them.
+
     Three projections in one map stage: Catalyst leaves them apart, since each uses the
     one before several times. A window is its eight words' XXH64; only a text with a
     window twice sorts its windows. Windows found twice start at sorted places p, and
@@ -60,7 +71,8 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    first = docs.select(*kept, words.alias("_words"), lines.alias("_lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    lang = F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None).cast("string")
+    first = docs.select(*kept, lang.alias("_lang"), words.alias("_words"), lines.alias("_lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
     n = F.size("_words")
     grams = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
     second = first.select(
@@ -68,7 +80,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         n.cast("long").alias("n_words"),
         F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         "n_symbols",
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+        stop_words(F.col("_words"), F.col("_lang"), lists).alias("n_stop_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         grams.alias("_grams"),
@@ -86,13 +98,13 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     return fourth.select(*rest, F.coalesce(F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, lang_col: str | None = "lang") -> DataFrame:
     """measured() with base_failed, kept and reasons (names of the rules that reject, in table order).
 
     Null, empty or blank text has no words: it fails few_words. Repeated rows are judged
     each; empty input gives empty output; extra columns pass only if named in keep.
     """
-    m = measured(docs, text_col, keep)
+    m = measured(docs, text_col, keep, lang_col)
     reasons = F.array_compact(F.array(*(F.when(r.fails(), F.lit(r.name)) for r in (*BASE, *rules))))
     out = m.select("*", _any(BASE).alias("base_failed"), reasons.alias("reasons"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
@@ -105,10 +117,11 @@ def _any(rules) -> Column:
     return out
 
 
-def filtered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def filtered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, lang_col: str | None = "lang") -> DataFrame:
     """The rows of docs that are kept, with all and only their own columns."""
     keep = docs.columns
     renamed = docs.toDF(*(f"_c{i}" for i in range(len(keep))))
     # the row number keeps the filter above the projections: pushed down, it would work every measure out again for each use
-    out = judged(renamed, f"_c{keep.index(text_col)}", renamed.columns, rules).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    lang = f"_c{keep.index(lang_col)}" if lang_col in keep else None
+    out = judged(renamed, f"_c{keep.index(text_col)}", renamed.columns, rules, lang).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from weirline.llm import decontaminate, language, linededup, pieces, pii, quality, secrets, sharding, simhash, tokencount
 
 
-STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+STOP_COUNT = " ".join(f"when '{k}' then len(list_filter(words, lambda w: lower(w) in ({', '.join(repr(w) for w in v.split())})))" for k, v in quality.STOP_WORDS.items())
 
 OP4_SQL = f"""
 with d as (
-  select doc_id, coalesce(text, '') as t,
+  select doc_id, lang, coalesce(text, '') as t,
     list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
   from documents
@@ -29,7 +29,7 @@ with d as (
   select d.doc_id, cast(len(words) as bigint) as n_words,
     cast(length(array_to_string(words, '')) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
-    cast(len(list_filter(words, lambda w: lower(w) in ({STOP_LIST}))) as bigint) as n_stop_words,
+    cast(case lang {STOP_COUNT} end as bigint) as n_stop_words,
     cast(len(lines) as bigint) as n_lines,
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
     cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
