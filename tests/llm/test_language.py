@@ -32,3 +32,17 @@ def test_cluster_is_unit_and_stable():
     c = language.cluster(v, 3)
     assert np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5) and (c == language.cluster(v, 3)).all()
     assert len(language.cluster(np.repeat(v[:1], 5, 0), 3)) == 1
+
+
+def test_query_split_and_held_out_accuracy(spark, sf):
+    import zlib
+
+    from weirline.llm import queries
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op7_language(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and docs[r.doc_id].lang and any(c.isalpha() for c in docs[r.doc_id].text or "")]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.9 * len(held) > 10
+    assert all(r.lang_pred == "und" for r in got if not any(c.isalpha() for c in docs[r.doc_id].text or ""))

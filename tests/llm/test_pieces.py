@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import sentencepiece
 
 from weirline.llm import pieces as P
@@ -55,3 +56,23 @@ def test_edges(spark):
     assert sum(not r.round_trip for r in got) == 2 and all(r.word == 3 for r in got)
     assert P.encode(df.limit(0)).count() == 0
     assert P.frequent_words(df, Scratch(spark, "t"), table=0).count() == 0
+
+
+def test_clashing_columns_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, ids int")
+    with pytest.raises(ValueError):
+        P.encode(df, keep=["ids"])
+
+
+def test_viterbi_has_the_best_score(spark):
+    """Against all segmentations of short words, by a made-up unigram table."""
+    table = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.0, "bc": -3.5, "abc": -7.0, "ca": -4.1, "cab": -6.0}
+    words = ["abc", "cab", "abcab", "ccab", "aaa", "bcabca"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    found = P.lattice(rows, spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(table.items())], "piece string, id int, score double"), 3)
+
+    def best(w):
+        return 0.0 if not w else max(table[w[:k]] + best(w[k:]) for k in range(1, len(w) + 1) if w[:k] in table)
+
+    for word, path in P.viterbi(found).collect():
+        assert "".join(word[x.s : x.e] for x in path) == word and abs(sum(table[word[x.s : x.e]] for x in path) - best(word)) < 1e-9

@@ -231,8 +231,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ids either way, so the table's bound changes no result. round_trip: decoding gives
     the text again (with ▁ in it, which the format itself reads as a space, it does not).
     Null and empty texts: no ids, round_trip true. Repeated rows: a row each. Empty
-    input: empty output. The kept columns follow id; names must not clash with it.
+    input: empty output. The kept columns follow id; one named like a column of the result is an error.
     """
+    if clash := {"id", "ids", "n_tokens", "round_trip", "_text"} & set(keep or []):
+        raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     token = uuid.uuid4().hex
     given = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col, model, table))
     cols = [F.col(f"`{c}`") for c in keep or []]
