@@ -94,3 +94,10 @@ def test_references_names_and_provenance(spark, tmp_path):
     S.write_shuffled_shards(spark.range(100), f"file://{tmp_path}/s", 4, "id", 3)
     back = spark.read.parquet(f"file://{tmp_path}/s")
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_shard_plans(spark):
+    files = spark.createDataFrame([("a", 10), ("b", 30), ("c", 5), ("d", 20)], "path string, length long")
+    plan = lambda **k: {r.path: r.shard for r in S.plan_shards(files, 40, **k).collect()}
+    assert plan() == {"a": 0, "b": 0, "c": 1, "d": 1} and plan(order="increasing") == {"c": 0, "a": 0, "d": 0, "b": 0} and plan(order="decreasing") == {"b": 0, "d": 0, "a": 1, "c": 1}
+    assert plan(order="random", seed=1) == plan(order="random", seed=1)

@@ -32,7 +32,7 @@ def split_sentences(t: Column, lang: str = "en") -> Column:
     if lang in PATTERNS:
         out = F.regexp_extract_all(t, F.lit(PATTERNS[lang]), F.lit(0))
     elif lang == "hye":
-        out = F.filter(F.transform(F.split(F.regexp_replace(t, "([.:։՜՞]) ", "$1\u0001"), "\u0001"), F.trim), lambda x: x != "")
+        out = F.filter(F.transform(F.split(F.regexp_replace(t, "([.:։՜՞]) ", "$1\u0001"), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
     else:
         out = F.split(F.regexp_replace(t, f"({END})\\s+({START})", "$1\u0001$2"), "\u0001")
     for a, b in AFTER.get(lang, ()):

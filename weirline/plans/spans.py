@@ -269,3 +269,24 @@ def tim_sample_counts(t):
     """TIM-02: samples to seconds and frames, trimmed lengths."""
     s = F.col("n_chars") / 16000
     return t("documents").select("doc_id", "lang", F.round(s, 7).alias("seconds"), F.round(s * 50).cast("long").alias("frames"), F.greatest(F.lit(0), F.col("n_chars") - 320).alias("trimmed"))
+
+
+@query(f"{MARGINS}, f as (select s, g, sim from (select *, row_number() over (partition by s order by round(sim, 9) desc, g) as r from p) where r <= 4 union select s, g, sim from (select *, row_number() over (partition by g order by round(sim, 9) desc, s) as r from p) where r <= 4), c as (select s, g, sim / ((ms.m + mg.m) / 2) as score from f join ms using (s) join mg using (g)), k as (select *, row_number() over (partition by s order by round(score, 9) desc, g) as rs, row_number() over (partition by g order by round(score, 9) desc, s) as rt from c where score >= 1.04) select s as src_id, g as tgt_id, round(score, 5) as score from k where rs = 1 and rt = 1")
+def vec_best_matches(t):
+    """VEC-10: mined pairs that are best for both sides."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return mining.best_matches(mining.mine(e.where("id % 2 = 0"), e.where("id % 2 = 1"))).select("src_id", "tgt_id", F.round("score", 5).alias("score"))
+
+
+@query("select doc_id, (row_number() over (order by md5('3:' || doc_id)) - 1) // 64 as batch from documents")
+def src_epoch(t):
+    """SRC-31: a seeded shuffled epoch in batches of 64, without an order of all rows in one task."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("3:"), F.col("doc_id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+    d = sampling.positions(t("documents").select("doc_id", h.alias("h")), "h")
+    return d.select("doc_id", F.floor(F.col("pos") / 64).alias("batch"))
+
+
+@query("select conv_id, turn, length(text) as n from conversations where conv_id between 20 and 29")
+def src_page(t):
+    """SRC-38: a page of rows by position, as a viewer asks for it."""
+    return t("conversations").where("conv_id between 20 and 29").select("conv_id", "turn", F.length("text").cast("long").alias("n"))

@@ -255,3 +255,10 @@ def with_provenance(df: DataFrame, meta: dict, now: float | None = None) -> Data
     old = (first.metadata or {}).get("provenance")
     new = plain(meta) | {"saved_at": now or time.time()} | ({"previous": old} if old else {})
     return df.withMetadata(first.name, (first.metadata or {}) | {"provenance": new})
+
+
+def plan_shards(files: DataFrame, target: int, order: str = "default", seed: int = 0) -> DataFrame:
+    """files with shard: runs of about `target` bytes in order of path, size (increasing, decreasing) or seeded hash (random); a row a file."""
+    by = {"default": ["path"], "random": [F.xxhash64("path", F.lit(seed)), "path"], "increasing": ["length", "path"], "decreasing": [F.desc("length"), "path"]}[order]
+    before = F.coalesce(F.sum("length").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("shard", F.floor(before / target).cast("int"))
