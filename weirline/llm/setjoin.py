@@ -130,7 +130,7 @@ def possible(n, m, sketches, similarity: float):
     return common * (1 + similarity) + SLACK >= similarity * (n + m)
 
 
-def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
+def close_pairs(pre: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
     """(a, b), a < b, of prefixes() with a column comp: all pairs of different comp that can reach the similarity, and some that do not.
 
     Members of an element's largest component meet its other members only, so a group of
@@ -140,7 +140,7 @@ def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
     differ in at most as many bits as the sets in elements. Elements with many sets are
     dealt over blocks; every pair of them still meets.
     """
-    rows = pre.select("id", "n", "comp", *(F.col("x")[k].alias(f"x{k}") for k in range(WORDS)), F.posexplode("pre").alias("at", "h"))
+    rows = pre.select("id", "n", "comp", *(F.col("x")[k].alias(f"x{k}") for k in range(words)), F.posexplode("pre").alias("at", "h"))
     held = rows.groupBy("h", "comp").agg(F.count("*").alias("c"))
     held = held.groupBy("h").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("others"))
     held = held.where("comps > 1").select("h", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
@@ -154,6 +154,6 @@ def close_pairs(pre: DataFrame, similarity: float) -> DataFrame:
     met = met & F.when(c("l.n") < c("r.n"), brief("l")).when(c("l.n") > c("r.n"), brief("r")).otherwise(brief("l") | brief("r"))
     left_over = F.least(c("l.n") - c("l.at"), c("r.n") - c("r.at"))
     met = met & (left_over * (1 + similarity) + SLACK >= similarity * (c("l.n") + c("r.n")))
-    met = met & possible(c("l.n"), c("r.n"), [(c(f"l.x{k}"), c(f"r.x{k}")) for k in range(WORDS)], similarity)
+    met = met & possible(c("l.n"), c("r.n"), [(c(f"l.x{k}"), c(f"r.x{k}")) for k in range(words)], similarity)
     both = left.join(right, met)
     return both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
