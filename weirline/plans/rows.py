@@ -49,11 +49,11 @@ def src_embedding_rows(t):
     return t("embeddings").select("vec_id", F.size("embedding").alias("dim"))
 
 
-@query("select vec_id, list_transform(embedding, lambda x: round(x::double, 3)) as v from embeddings where vec_id in (select doc_id from labels)")
+@query("select vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 1000) as int)) as v from embeddings where vec_id in (select doc_id from labels)")
 def snk_embedding_subset(t):
-    """SNK-07: the rows of a matrix that an id list names, in fewer digits."""
+    """SNK-07: the rows of a matrix that an id list names, in thousandths."""
     ids = t("labels").select(F.col("doc_id").alias("vec_id"))
-    return t("embeddings").join(ids, "vec_id", "left_semi").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("v"))
+    return t("embeddings").join(ids, "vec_id", "left_semi").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("v"))
 
 
 @query(f"select min(doc_id) as doc_id, count(*) as n from (select doc_id, {KEY} as k from documents) group by k")
