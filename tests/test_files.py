@@ -101,3 +101,16 @@ def test_shard_plans(spark):
     plan = lambda **k: {r.path: r.shard for r in S.plan_shards(files, 40, **k).collect()}
     assert plan() == {"a": 0, "b": 0, "c": 1, "d": 1} and plan(order="increasing") == {"c": 0, "a": 0, "d": 0, "b": 0} and plan(order="decreasing") == {"b": 0, "d": 0, "a": 1, "c": 1}
     assert plan(order="random", seed=1) == plan(order="random", seed=1)
+
+
+def test_audio_header(spark, tmp_path):
+    import wave
+
+    with wave.open(f"{tmp_path}/a.wav", "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(b"\0" * 4 * 8000)
+    (tmp_path / "b.wav").write_bytes(b"no header")
+    got = spark.read.format("binaryFile").load(f"file://{tmp_path}").orderBy("path").select(S.wav_fields(F.col("content")).alias("w")).collect()
+    assert tuple(got[0].w) == (2, 16000, 0.5) and got[1].w is None

@@ -290,3 +290,44 @@ def src_epoch(t):
 def src_page(t):
     """SRC-38: a page of rows by position, as a viewer asks for it."""
     return t("conversations").where("conv_id between 20 and 29").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+
+
+@query("select user_id, event_type, max(value) as longest, arg_max(event_id, (value, -event_id)) as event_id from events where value is not null group by user_id, event_type")
+def cnt_longest(t):
+    """CNT-29: the longest segment of each file and kind, and which it is."""
+    e = t("events").where("value is not null")
+    return e.groupBy("user_id", "event_type").agg(F.max("value").alias("longest"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
+
+
+@query("with m as (select lang, source, avg(quality) as q, avg(toxic) as x from documents join labels using (doc_id) where lang is not null and source is not null and n_chars > 500 group by lang, source) select lang, round(avg(q), 6) as quality, round(avg(x), 6) as toxic, count(*) as n from m group by lang")
+def cnt_direction_means(t):
+    """CNT-34: means of a metric over the means of directions, rows filtered by class first."""
+    d = t("documents").where("lang is not null and source is not null and n_chars > 500").join(t("labels"), "doc_id")
+    m = d.groupBy("lang", "source").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("x"))
+    return m.groupBy("lang").agg(F.round(F.avg("q"), 6).alias("quality"), F.round(F.avg("x"), 6).alias("toxic"), F.count("*").alias("n"))
+
+
+@query("with s as (select conv_id, turn, unnest(string_split(text, chr(10))) as line from conversations), d as (select line, min((conv_id, turn)) as first, count(*) as n from s group by line) select d.first[1] as conv_id, d.first[2] as turn, n, md5(line) as h from d")
+def set_dictionary(t):
+    """SET-07: each different line once, with its first place and how often it stands: the dictionary that scoring reads."""
+    s = t("conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
+    d = s.groupBy("line").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count("*").alias("n"))
+    return d.select("first.conv_id", "first.turn", "n", F.md5(F.col("line").cast("binary")).alias("h"))
+
+
+@query("with u as (select doc_id, source, n_chars from documents union all select doc_id, source, n_chars from documents where doc_id % 3 = 0), d as (select distinct doc_id, source, n_chars from u) select doc_id, source, cast(row_number() over (partition by source order by n_chars, doc_id) as bigint) as place from d")
+def snk_merged_manifests(t):
+    """SNK-13: manifests merged, entries once, sorted by size in each archive."""
+    d = t("documents").select("doc_id", "source", "n_chars")
+    once = d.unionByName(d.where("doc_id % 3 = 0")).distinct()
+    return once.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).cast("long").alias("place"))
+
+
+@query("select doc_id, side, cast(row_number() over (order by slot, side, doc_id) - 1 as bigint) as pos from (select doc_id, 'a' as side, (doc_id // 2) * 5 as slot from documents where doc_id % 2 = 0 union all select doc_id, 'b', (doc_id // 2) * 5 + 2 from documents where doc_id % 2 = 1)")
+def srt_interleaved(t):
+    """SRT-09, JN-18: two sorted streams merged into one, the order of each kept."""
+    d = t("documents").select("doc_id")
+    half = F.floor(F.col("doc_id") / 2) * 5
+    a = d.where("doc_id % 2 = 0").select("doc_id", F.lit("a").alias("side"), half.alias("slot"))
+    b = d.where("doc_id % 2 = 1").select("doc_id", F.lit("b").alias("side"), (half + 2).alias("slot"))
+    return sampling.positions(a.unionByName(b), "slot").select("doc_id", "side", "pos")

@@ -262,3 +262,10 @@ def plan_shards(files: DataFrame, target: int, order: str = "default", seed: int
     by = {"default": ["path"], "random": [F.xxhash64("path", F.lit(seed)), "path"], "increasing": ["length", "path"], "decreasing": [F.desc("length"), "path"]}[order]
     before = F.coalesce(F.sum("length").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("shard", F.floor(before / target).cast("int"))
+
+
+def wav_fields(content: Column) -> Column:
+    """Struct (channels, rate, seconds) from the 44 header bytes of plain PCM audio files; null for other content."""
+    number = lambda at, n: F.conv(F.hex(F.concat(*(F.substring(content, at + k, 1) for k in range(n - 1, -1, -1)))), 16, 10).cast("long")
+    plain = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 37, 4) == F.lit(b"data"))
+    return F.when(plain, F.struct(number(23, 2).alias("channels"), number(25, 4).alias("rate"), (number(41, 4) / number(29, 4)).alias("seconds")))
