@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ KEPT = 1 << 19
 class Pieces:
     """The piece table of a model file: ids, scores, byte pieces, and the letters no longer piece has."""
 
-    def __init__(self, path: str):
+    def __init__(self, proto: bytes):
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = m.get_piece_size()
         names = [m.id_to_piece(i) for i in range(n)]
         self.unknown = m.unk_id()
@@ -94,8 +95,13 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
+def of_bytes(proto: bytes) -> Pieces:
+    return Pieces(proto)
+
+
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    """The pieces of a model file that this process can read: the driver; tasks get the file's bytes."""
+    return of_bytes(Path(path).read_bytes())
 
 
 def marked(text: str | None) -> str:
@@ -237,11 +243,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     token = uuid.uuid4().hex
     given = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col, model, table))
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # workers need no file of their own
     cols = [F.col(f"`{c}`") for c in keep or []]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *cols, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = of_bytes(shipped.value)
         words, find = _kept(token, given, pieces), re.compile(pieces.word_pattern()).findall
         for big in batches:
             for at in range(0, big.num_rows, 1024):

@@ -7,6 +7,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,17 @@ SUPER = 1024
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
 def encoder(vocab: str):
+    """encoder_of() a file that this process can read: the driver; tasks get the file's bytes."""
+    return encoder_of(Path(vocab).read_bytes())
+
+
+@lru_cache(maxsize=2)
+def encoder_of(data: bytes):
     """The library's encoder and the ranks of its vocabulary."""
     import tiktoken
 
-    with open(vocab, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
@@ -88,9 +93,10 @@ def flat_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A file is what one task reads. Null text is an empty document.
     """
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(vocab).read_bytes())  # workers need no file of their own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (enc, ranks), file = encoder(vocab), f"part-{TaskContext.get().partitionId():06d}"
+        (enc, ranks), file = encoder_of(shipped.value), f"part-{TaskContext.get().partitionId():06d}"
         rest, block, ordinal = b"", 0, 0
 
         def rows(payloads: list[bytes], ids: list | None) -> pa.RecordBatch:
