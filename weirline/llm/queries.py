@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import decontaminate, language, linededup, pieces, pii, quality, secrets, sharding, simhash, tokencount
+from weirline.llm import centroids, decontaminate, language, linededup, pieces, pii, quality, secrets, sharding, simhash, tokencount
 
 
 STOP_COUNT = " ".join(f"when '{k}' then len(list_filter(words, lambda w: lower(w) in ({', '.join(repr(w) for w in v.split())})))" for k, v in quality.STOP_WORDS.items())
@@ -45,6 +45,40 @@ from b
 """
 
 
+def _op11_sql() -> str:
+    """Lloyd rounds over all distances: c0 to c5 are the centroids, n0 to n5 each vector's nearest."""
+    kept = """k as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v from k order by sha256('2:' || vec_id), v limit 40
+)"""
+    parts = [kept]
+    for i in range(6):
+        parts.append(
+            f"""n{i} as (
+  select r, vec_id, any_value(v) as v, min(e) as e from (
+    select k.r, vec_id, k.v, {{'d': cast(list_sum(list_transform(list_zip(k.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint), 'c': c}} as e
+    from (select row_number() over () as r, * from k) as k, c{i}
+  ) group by r, vec_id
+)"""
+        )
+        if i < 5:
+            parts.append(
+                f"""m{i} as (
+  select c, list(cast(floor(s / n) as bigint) order by j) as v from (
+    select e.c as c, j, cast(sum(v[j]) as double) as s, count(*) as n from (select e, v, unnest(range(1, 65)) as j from n{i}) group by e.c, j
+  ) group by c
+), c{i + 1} as (select c, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (c))"""
+            )
+    return "with " + ", ".join(parts) + """
+select vec_id, cast(n5.e.c as integer) as cluster, n5.e.d as distance,
+  cast(sum(n5.e.d) over (partition by n5.e.c) as bigint) as cluster_inertia, cast(sum(n5.e.d) over () as bigint) as inertia,
+  sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from n5 join c5 on n5.e.c = c5.c
+"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -97,9 +131,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL}
+    return {"op4_quality": OP4_SQL, "op11_centroids": _op11_sql()}
