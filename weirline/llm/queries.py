@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import centroids, decontaminate, language, linededup, pieces, pii, quality, secrets, sharding, simhash, tokencount
+from weirline.llm import centroids, decontaminate, language, linededup, pieces, pii, quality, repair, secrets, sharding, simhash, tokencount
 
 
 STOP_COUNT = " ".join(f"when '{k}' then len(list_filter(words, lambda w: lower(w) in ({', '.join(repr(w) for w in v.split())})))" for k, v in quality.STOP_WORDS.items())
@@ -135,6 +135,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    every = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = repair.digests(repair.repair(repair.damaged(given)))
+    both = every.join(found, every.conv_id.eqNullSafe(found.id), "left")
+    totals = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.TOTALS)
+    return both.select("conv_id", *totals, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
