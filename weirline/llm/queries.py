@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import centroids, decontaminate, language, linededup, pieces, pii, quality, repair, secrets, sharding, simhash, tokencount
+from weirline.llm import centroids, decontaminate, language, linededup, ngramjoin, pieces, pii, quality, repair, secrets, sharding, simhash, tokencount
 
 
 STOP_COUNT = " ".join(f"when '{k}' then len(list_filter(words, lambda w: lower(w) in ({', '.join(repr(w) for w in v.split())})))" for k, v in quality.STOP_WORDS.items())
@@ -79,6 +79,30 @@ from n5 join c5 on n5.e.c = c5.c
 """
 
 
+OP13_SQL = """
+with recursive w as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+  from documents
+), s as (
+  select r, doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, case when len(words) > 0 then 1 else 0 end) + 1), lambda i: array_to_string(words[i:i + 3], ' '))) as grams from w
+), g as (
+  select r, unnest(grams) as gram from s
+), f as (
+  select gram, count(*) as c from g group by gram having c > 1
+), o as (
+  select a.r as a, b.r as b, count(*) as both
+  from (select * from g semi join f using (gram)) as a join (select * from g semi join f using (gram)) as b on a.gram = b.gram and a.r < b.r
+  group by 1, 2
+), e as (
+  select o.a, o.b from o join s as x on o.a = x.r join s as y on o.b = y.r where 100 * both >= 85 * (len(x.grams) + len(y.grams) - both)
+), n as (select a, b from e union all select b, a from e), walk as (
+  select r as a, r as b from s union select walk.a, n.b from walk join n on walk.b = n.a
+)
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, (select min(t.doc_id) from walk join s as t on walk.b = t.r where walk.a = s.r) as component_id
+from s
+"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -144,9 +168,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", *totals, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngramjoin.join(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL, "op11_centroids": _op11_sql()}
+    return {"op4_quality": OP4_SQL, "op11_centroids": _op11_sql(), "op13_ngram_join": OP13_SQL}
