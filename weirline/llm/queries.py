@@ -90,11 +90,11 @@ with recursive w as (
 ), f as (
   select gram, count(*) as c from g group by gram having c > 1
 ), o as (
-  select a.r as a, b.r as b, count(*) as both
+  select a.r as a, b.r as b, count(*) as shared
   from (select * from g semi join f using (gram)) as a join (select * from g semi join f using (gram)) as b on a.gram = b.gram and a.r < b.r
   group by 1, 2
 ), e as (
-  select o.a, o.b from o join s as x on o.a = x.r join s as y on o.b = y.r where 100 * both >= 85 * (len(x.grams) + len(y.grams) - both)
+  select o.a, o.b from o join s as x on o.a = x.r join s as y on o.b = y.r where 100 * shared >= 85 * (len(x.grams) + len(y.grams) - shared)
 ), n as (select a, b from e union all select b, a from e), walk as (
   select r as a, r as b from s union select walk.a, n.b from walk join n on walk.b = n.a
 )
