@@ -111,23 +111,6 @@ def test_knn_keeps_lowest_ids_of_equal_vectors(spark):
     assert [(r.b_id, r.rank) for r in mining.knn(q, base, 4).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
 
 
-def test_inverted_file_recall(spark, sf):
-    import numpy as np
-
-    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").selectExpr("vec_id as id", "embedding as vec")
-    q = rows.where("id % 50 = 0")
-    cells = mining.train_cells(rows, 16)
-    index = mining.populate(rows, cells)
-    assert index.count() == rows.count()
-    near = lambda df: {(r.q_id, r.b_id) for r in df.collect()}
-    exact, found = near(mining.knn(q, rows, 4)), near(mining.search_cells(q, index, cells, 4, 12))
-    assert len(exact & found) >= 0.9 * len(exact)
-    assert near(mining.search_cells(q, index, cells, 4, len(cells))) == exact
-    assert near(mining.search_cells(q, index, cells, 4, len(cells), block=100)) == exact == near(mining.knn(q, rows, 4, block=300))
-    assert (mining.index_type(10_000), mining.index_type(10_001), mining.index_type(600_000_000)) == ("Flat", "OPQ64,IVF1024,PQ64", "OPQ64,IVF262144,PQ64")
-    assert mining.n_cells(1) == 1 and mining.n_cells(5_000_000) == 32768 and np.allclose(np.linalg.norm(cells, axis=1), 1)
-
-
 def test_state_machine_queries_without_sql(spark, sf):
     from weirline.operators import sequences as S
 

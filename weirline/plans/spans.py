@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirline.functions import alignment as A
 from weirline.functions import vectors as V
-from weirline.operators import mining, models, sampling
+from weirline.operators import ivfpq, mining, models, sampling
 from weirline.operators import sequences as S
 from weirline.plans.registry import query
 
@@ -123,13 +123,9 @@ def vec_features(t):
 
 @query("with e as (select vec_id, embedding::double[] as v, label from embeddings), p as (select a.vec_id as q, b.vec_id as b, list_dot_product(a.v, b.v) as sim from e a, e b where a.vec_id % 50 = 0 and a.label <> b.label), r as (select *, row_number() over (partition by q order by round(sim, 9) desc, b) as rank from p) select q as q_id, b as b_id, rank from r where rank <= 3")
 def srt_hard_negatives(t):
-    """SRT-11: nearest rows of another label for every fiftieth row: neighbours of the rows of each label among the others."""
+    """SRT-11: nearest rows of another label for every fiftieth row, the own label left out in the tiles."""
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    out = None
-    for (label,) in e.select("label").distinct().orderBy("label").collect():  # the few labels
-        near = mining.knn(e.where((F.col("id") % 50 == 0) & (F.col("label") == label)), e.where(F.col("label") != label), 3)
-        out = near if out is None else out.unionByName(near)
-    return out.select("q_id", "b_id", "rank")
+    return mining.knn_other_label(e.where("id % 50 = 0"), e, 3).select("q_id", "b_id", "rank")
 
 
 MARGINS = "with e as (select vec_id as id, embedding::double[] as v from embeddings), p as (select a.id as s, b.id as g, list_dot_product(a.v, b.v) as sim from e a, e b where a.id % 2 = 0 and b.id % 2 = 1), ms as (select s, avg(sim) as m from (select *, row_number() over (partition by s order by round(sim, 9) desc, g) as r from p) where r <= 4 group by s), mg as (select g, avg(sim) as m from (select *, row_number() over (partition by g order by round(sim, 9) desc, s) as r from p) where r <= 4 group by g)"
@@ -141,11 +137,8 @@ def vec_pair_margins(t):
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     src, tgt = e.where("id % 2 = 0"), e.where("id % 2 = 1")
     pairs = src.select(F.col("id").alias("src_id"), (F.col("id") + 1).alias("tgt_id"))
-    out = None
-    for kind in ("ratio", "distance", "absolute"):
-        one = mining.score_pairs(pairs, src, tgt, kind=kind).withColumn(kind, F.round("score", 5)).drop("score")
-        out = one if out is None else out.join(one, ["src_id", "tgt_id"])
-    return out
+    found = mining.score_pairs(pairs, src, tgt, kinds=("ratio", "distance", "absolute"))
+    return found.select("src_id", "tgt_id", *(F.round(c, 5).alias(c) for c in ("ratio", "distance", "absolute")))
 
 
 @query("with e as (select vec_id as id, embedding::double[] as v from embeddings), p as (select a.id as q, b.id as b, list_dot_product(a.v, b.v) as sim from e a, e b where a.id % 50 = 0), r as (select *, row_number() over (partition by q order by round(sim, 9) desc, b) as rank from p), k as (select *, 0.7 * sim + 0.3 * (b % 10) / 10 as blend from r where rank <= 8) select q as q_id, arg_min(b, (-round(blend, 9), b)) as b_id from k group by q")
@@ -158,10 +151,33 @@ def vec_blended(t):
 
 @query()
 def jn_ivf(t):
-    """JN-06, VEC-12, VEC-13: neighbours of every fiftieth row through an inverted file over all rows; cells fitted to at most 16,384 rows."""
+    """JN-06, VEC-13: neighbours of every fiftieth row through product codes in an eighth of an index's 16 cells over all rows; re-ranked exactly."""
     rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    cells = mining.train_cells(rows, 16)
-    return mining.search_cells(rows.where("id % 50 = 0"), mining.populate(rows, cells), cells, 4, 12).select("q_id", "b_id", "rank", F.round("sim", 5).alias("sim"))
+    index = ivfpq.train(rows, "OPQ64,IVF16,PQ64")
+    found = ivfpq.search(rows.where("id % 50 = 0"), rows, ivfpq.populate(rows, index), index, 4, nprobe=2)
+    return found.select("q_id", "b_id", "rank", F.round("sim", 5).alias("sim"))
+
+
+@query(
+    """select lang, count(*) as n, case when count(*) * 1000 > 500000000 then 262144 when count(*) * 1000 > 100000000 then 131072 when count(*) * 1000 > 10000000 then 65536
+  when count(*) * 1000 > 4000000 then 32768 when count(*) * 1000 > 700000 then 16384 when count(*) * 1000 > 250000 then 8192 when count(*) * 1000 > 160000 then 4096
+  when count(*) * 1000 > 80000 then 2048 when count(*) * 1000 > 10000 then 1024 else 1 end as cells from documents group by lang"""
+)
+def vec_index_cells(t):
+    """VEC-12: cells of the index that each language's corpus takes, at a thousand sentences a document."""
+    rows = F.col("n") * 1000
+    cells = F.lit(1)
+    for least, kind in reversed(ivfpq.INDEX_TYPES):
+        cells = F.when(rows > least, ivfpq.n_cells(kind)).otherwise(cells)
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", cells.alias("cells"))
+
+
+@query()
+def vec_indexed_mining(t):
+    """VEC-10, JN-06, VEC-13: margin mining whose neighbours come from an index of each side."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found = mining.mine(e.where("id % 2 = 0"), e.where("id % 2 = 1"), index="OPQ64,IVF16,PQ64", nprobe=2)
+    return found.select("src_id", "tgt_id", "dir", F.round("score", 5).alias("score"))
 
 
 @query("with c as (select lang, count(*) as n from documents where lang is not null group by lang) select lang, cast(least(ceil(n / 37), ceil((select sum(n) from c) / 500)) as bigint) as shards from c")
