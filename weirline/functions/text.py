@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
 import unicodedata
 
 import pandas as pd
@@ -349,21 +352,43 @@ def script(t: Column) -> Column:
     return F.transform(F.array(F.regexp_replace(t, UBIQUITOUS, "")), pick)[0]
 
 
-def toxic_tokens(t: Column) -> Column:
-    """Text with punctuation, symbols and ideographs set apart, single spaces, and one at both ends."""
+#: What Python's str.split() takes as white space.
+ANY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def _set_apart(t: Column) -> Column:
     apart = F.regexp_replace(t, "[\\p{P}\\p{S}\\p{IsHan}]", " $0 ")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, "\\s+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, ANY_SPACE, " ")), F.lit(" "))
+
+
+def toxic_tokens(t: Column) -> Column:
+    """Text with Unicode punctuation replaced, punctuation, symbols and ideographs set apart, single spaces, and one at both ends."""
+    return _set_apart(replace_unicode_punct(t))
 
 
 def toxic_words(t: Column, phrases: list[str]) -> Column:
-    """The different phrases that stand in t as whole tokens, as given or in lower case; tokens are cut once a text."""
+    """The different phrases that stand in t as whole tokens, as given or in lower case; for a few phrases (operators.phrases has long lists).
+
+    Phrases are cut into tokens like texts. A phrase that is not in lower case counts
+    again in lower case. A text is only cut where it has the letters of some phrase.
+    """
+    own = [toxic_tokens(F.lit(p)) for p in phrases]
+    listed = own + [F.lower(p) for p in own]
+    letters = [max(re.findall("[a-z]+", p.lower()), key=len, default="") for p in phrases]
 
     def hits(k: Column) -> Column:
-        found = [F.when(F.contains(k["own"], F.lit(f" {p} ")) | F.contains(k["low"], F.lit(f" {p} ")), F.lit(p)) for p in phrases]
+        found = [F.when(F.contains(k["own"], p) | F.contains(k["low"], p), F.trim(p)) for p in listed]
         return F.array_distinct(F.array_compact(F.array(*found)))
 
-    both = F.transform(F.array(toxic_tokens(t)), lambda x: F.struct(x.alias("own"), F.lower(x).alias("low")))
-    return F.transform(both, hits)[0]
+    def cut(x: Column) -> Column:
+        return F.transform(F.transform(F.array(_set_apart(x)), lambda k: F.struct(k.alias("own"), F.lower(k).alias("low"))), hits)[0]
+
+    def checked(x: Column) -> Column:
+        none = F.array().cast("array<string>")
+        low = F.transform(F.array(F.lower(x)), lambda y: functools.reduce(operator.or_, [F.contains(y, F.lit(w)) for w in letters]))[0]
+        return F.when(low, cut(x)).otherwise(none)
+
+    return F.transform(F.array(replace_unicode_punct(t)), checked)[0]
 
 
 def toxic_substrings(t: Column, phrases: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weirline.functions import text as X
 from weirline.operators import filters
+from weirline.operators import phrases
 from weirline.plans.registry import query
 
 
@@ -202,15 +203,58 @@ def str_parse_url(t):
 
 
 PHRASES = ["worthless", "the", "of"]
-TOKENS = "' ' || trim(regexp_replace(regexp_replace(text, '(\\p{P}|\\p{S}|\\p{Han})', ' \\1 ', 'g'), '\\s+', ' ', 'g')) || ' '"
+SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@query(f"select doc_id, cast({' + '.join(f'''cast(contains(k, ' {p} ') or contains(lower(k), ' {p} ') as int)''' for p in PHRASES)} as int) as n_toxic from (select doc_id, {TOKENS} as k from documents)")
+def tokens_sql(t: str) -> str:
+    return f"' ' || trim(regexp_replace(regexp_replace({replaced(t, X.UNICODE_PUNCT)}, '(\\p{{P}}|\\p{{S}}|\\p{{Han}})', ' \\1 ', 'g'), '{SPACE}', ' ', 'g')) || ' '"
+
+
+TOKENS = tokens_sql("text")
+
+
+def hits_sql(k: str, phrases: list[str]) -> str:
+    """The different phrases, cut like texts, as they are and in lower case, that stand in the tokens k."""
+    own = [tokens_sql(sq(p)) for p in phrases]
+    every = ", ".join(f"case when contains({k}, {p}) or contains(lower({k}), {p}) then trim({p}) end" for p in own + [f"lower({p})" for p in own])
+    return f"list_distinct(list_filter([{every}], lambda x: x is not null))"
+
+
+@query(f"select doc_id, cast(len({hits_sql('k', PHRASES)}) as int) as n_toxic from (select doc_id, {TOKENS} as k from documents)")
 def tox_phrase_counts(t):
     """TOX-01, TOX-02, TOX-04: phrases as whole tokens."""
     return t("documents").select("doc_id", F.size(X.toxic_words(F.col("text"), PHRASES)).alias("n_toxic"))
 
 
+PUNCTUATED = ["The", "of,", "ed. Th", "-", "Étion dans"]
+
+
+@query(f"select doc_id, array_to_string(list_sort({hits_sql('k', PUNCTUATED)}), '|') as found from (select doc_id, {TOKENS} as k from documents)")
+def tox_punctuated_phrases(t):
+    """TOX-01, TOX-02: phrases of several tokens and with punctuation, cut like texts; those with capitals count in lower case again."""
+    return t("documents").select("doc_id", F.array_join(F.array_sort(X.toxic_words(F.col("text"), PUNCTUATED)), "|").alias("found"))
+
+
+@query(
+    f"""with w as (select distinct array_to_string(string_split_regex(trim(text), '\\s+')[1:2], ' ') as phrase from benchmark), p as (select {tokens_sql('phrase')} as p from w), q as (select p from p union select lower(p) from p),
+d as (select doc_id, {TOKENS} as k from documents)
+select doc_id, count(p) as n, coalesce(string_agg(trim(p), '|' order by trim(p)), '') as found from d left join q on contains(k, p) or contains(lower(k), p) group by doc_id"""
+)
+def tox_listed_phrases(t):
+    """TOX-01, TOX-02: a list of phrases from a table (how the items of benchmark begin) through one automaton."""
+    begins = F.array_join(F.slice(F.split(F.trim("text"), "\\s+"), 1, 2), " ")
+    found = phrases.with_phrases(t("documents").select("doc_id", "text"), "doc_id", "text", t("benchmark").select(begins.alias("phrase")).distinct())
+    return found.select("doc_id", F.size("phrases").cast("long").alias("n"), F.array_join("phrases", "|").alias("found"))
+
+
+@query()
+def tox_piece_phrases(t):
+    """TOX-03: the subword checker: the phrases' pieces in a row among a text's pieces."""
+    begins = F.array_join(F.slice(F.split(F.trim("text"), "\\s+"), 1, 2), " ")
+    found = phrases.with_piece_phrases(t("documents").select("doc_id", "text"), "text", t("benchmark").select(begins.alias("phrase")).distinct(), "/opt/tokenizers/piece_bpe_32k.model")
+    return found.select("doc_id", F.size("phrases").cast("long").alias("n"), F.array_join("phrases", "|").alias("found"))
+
+
 @query(
     f"""with d as (select lang, contains(lower({TOKENS}), ' worthless ') as hit from documents)
 select lang, count(*) as n, count(*) filter (hit) as n_hit, round(avg(hit::int), 6) as share from d group by lang"""
