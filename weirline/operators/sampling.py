@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +19,24 @@ def md5_shard(key: Column, n: int, seed: int = 0) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
-def positions(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
-    """df with pos, the place of each row from 0 in the order of a unique numeric column.
+def ranges(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
+    """df with name, the range of a numeric column that a row is in: bounds are approximate quantiles, so that ranges hold near equally many rows; nulls are the last range."""
+    near = df.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+    bounds = [-math.inf, *(sorted(set(near)) or [0.0]), math.inf]
+    cut = Bucketizer(splits=bounds, inputCol=f"{name}_x", outputCol=name, handleInvalid="keep")
+    return cut.transform(df.withColumn(f"{name}_x", F.col(order).cast("double"))).drop(f"{name}_x").withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(bounds))))
+
+
+def positions(df: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
+    """df with pos, the place of each row from 0 in the order of a unique numeric column; nulls come last.
 
     Rows are counted by range of the column and numbered inside ranges; only the counts of
-    at most `buckets` ranges are ordered in one task.
+    the ranges are ordered in one task.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-    placed = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
+    placed = ranges(df, order, "_b", buckets)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order).asc_nulls_last())) - 1
     return placed.join(F.broadcast(starts), "_b").withColumn("pos", F.col("_start") + inside).drop("_b", "_start")
 
 
@@ -59,14 +68,12 @@ def temperature_sizes(counts: DataFrame, group: str, n: str, total: int, tempera
     return p.crossJoin(F.broadcast(total_p)).select(group, n, F.least(F.col(n), F.floor(F.col("_p") / F.col("_sum") * total)).alias("sample"))
 
 
-def offsets(df: DataFrame, size: str, order: str, within: str, name: str, buckets: int = 4096) -> DataFrame:
-    """df with the sum of sizes before each row inside its `within` group: by range of the unique numeric order column first, then inside ranges."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-    cut = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
+def offsets(df: DataFrame, size: str, order: str, within: str, name: str, buckets: int = 1024) -> DataFrame:
+    """df with the sum of sizes before each row inside its `within` group, in the order of a unique numeric column (nulls last): by range of the column first, then inside ranges."""
+    cut = ranges(df, order, "_b", buckets)
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(F.col(within).alias("_w"), F.col("_b").alias("_c")).agg(F.sum(size).alias("_n"))
     sums = sums.select("_w", "_c", F.coalesce(F.sum("_n").over(ahead(Window.partitionBy("_w").orderBy("_c"))), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum(size).over(ahead(Window.partitionBy(within, "_b").orderBy(order))), F.lit(0))
+    inside = F.coalesce(F.sum(size).over(ahead(Window.partitionBy(within, "_b").orderBy(F.col(order).asc_nulls_last()))), F.lit(0))
     placed = cut.join(sums, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_c")))
     return placed.withColumn(name, F.col("_start") + inside).drop("_b", "_w", "_c", "_start")

@@ -47,6 +47,13 @@ def jn_monotone_alignment(t):
     return sentence_lengths(t).select("conv_id", "turn", F.explode(find("a", "b")).alias("p")).select("conv_id", "turn", "p.i", "p.j")
 
 
+@query()
+def jn_monotone_inner(t):
+    """JN-16: as jn_monotone_alignment, the walk back ended at the first sentence of either side."""
+    find = _pairs(lambda a, b: S.monotone_pairs(1 / (1 + np.abs(a[:, None] - b[None, :])), stop_at_edge=True))
+    return sentence_lengths(t).select("conv_id", "turn", F.explode(find("a", "b")).alias("p")).select("conv_id", "turn", "p.i", "p.j")
+
+
 @query()
 def udf_word_alignment(t):
     """UDF-13: word pairs by attention in both directions, eight words of eight numbers from each of two rows' vectors."""

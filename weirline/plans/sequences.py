@@ -82,16 +82,23 @@ def win_capped_segments(t):
     return S.per_group(t("events").select("event_id", "user_id", "ts", "value", "event_type"), ["user_id"], ["ts", "event_id"], cut, "event_id long, user_id long, segment int")
 
 
-@query()
+@query(
+    """with recursive x as (select user_id, coalesce(value, 0) / 100 as p, row_number() over (partition by user_id order by ts, event_id) as r, count(*) over (partition by user_id) as n from events),
+k as (select user_id, r, n, case when p >= 0.5 then 0 end as start, cast(null as bigint) as quiet, cast(null as bigint) as s, cast(null as bigint) as e from x where r = 1 union all
+  select z.user_id, z.r, z.n, case when ends then null when loud and start is null then z.r * 10 - 10 else start end, case when ends then null else q end, case when ends and q - start > 10 then start end, case when ends and q - start > 10 then q end
+  from (select y.*, start is not null and low and r * 10 - 10 - q >= 20 as ends from (select x.user_id, x.r, x.n, k.start, x.p >= 0.5 as loud, x.p < 0.35 as low,
+    case when x.p >= 0.5 or k.start is null then null when x.p < 0.35 then coalesce(k.quiet, x.r * 10 - 10) else k.quiet end as q from k join x on x.user_id = k.user_id and x.r = k.r + 1) y) z),
+f as (select user_id, n * 10 as total, s, e from k where s is not null union all select user_id, n * 10, start, n * 10 from k where r = n and start is not null and n * 10 - start > 10),
+g as (select *, s - lag(e) over w as before, lead(s) over w - e as after from f window w as (partition by user_id order by s))
+select user_id, cast(case when before is null then greatest(0, s - 4) when before < 8 then greatest(0, s - before // 2) else s end as int) as first,
+  cast(case when after is null then least(total, e + 4) when after < 8 then e + after // 2 else e + 4 end as int) as last from g"""
+)
 def win_hysteresis(t):
-    """WIN-10: spans over a threshold with hysteresis."""
-    import pandas as pd
-
-    def spans(g):
-        found = S.hysteresis(g["value"].fillna(0.0), 50.0, 20.0, 1, 2)
-        return pd.DataFrame({"user_id": g["user_id"].iloc[:1].repeat(len(found)).to_numpy(), "first": [a for a, _ in found], "last": [b for _, b in found]})
-
-    return S.per_group(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], spans, "user_id long, first int, last int")
+    """WIN-10: spans over a threshold with hysteresis, padded, in each user's events (windows of ten samples): one fold over the ordered probabilities."""
+    probs = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"] / 100)
+    spans = S.speech_spans(F.col("probs"), 0.5, None, 10, 10, 20, 4)
+    each = t("events").groupBy("user_id").agg(probs.alias("probs")).select("user_id", F.explode(spans).alias("s"))
+    return each.select("user_id", F.col("s.start").cast("int").alias("first"), F.col("s.end").cast("int").alias("last"))
 
 
 @query()

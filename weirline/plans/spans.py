@@ -73,9 +73,13 @@ def cnt_line_agreement(t):
 @query("select doc_id, row_number() over (order by doc_id) - 1 as pos, round(n_chars - avg(n_chars) over (partition by lang), 4) as centred from documents")
 def cnt_apply_over_groups(t):
     """CNT-06: a mapper over the groups of a table, the order of its rows restored."""
-    d = sampling.positions(t("documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    centre = lambda x: x.withColumn("centred", F.round(F.col("n_chars") - F.avg("n_chars").over(Window.partitionBy("lang")), 4))
-    return models.apply_over_groups(d, ["lang"], centre).select("doc_id", "pos", "centred")
+    d = sampling.positions(t("documents").select("doc_id", "lang", F.col("n_chars").cast("long").alias("n_chars")), "doc_id").withColumn("pos", F.col("pos").cast("long"))
+
+    def centre(g):
+        n = g.column("n_chars").to_numpy().astype(float)
+        return g.append_column("centred", [(n - n.mean()).round(4)])
+
+    return models.apply_over_groups(d, ["lang"], centre, "doc_id long, lang string, n_chars long, pos long, centred double").select("doc_id", "pos", "centred")
 
 
 PAIRED = f"(select a.user_id, a.event_id as a, b.event_id as b, a.s as a_s, a.e as a_e, b.s as b_s, b.e as b_e from {EV} a join {EV} b on a.user_id = b.user_id and floor(a.s / 7200) = floor(b.s / 7200) and a.event_id < b.event_id)"
