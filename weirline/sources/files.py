@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirline.operators import sampling
+from weirline.sources.matrix import read_matrix  # noqa: F401
 
 
 def list_files(spark: SparkSession, *paths: str, suffix: str = "") -> DataFrame:
@@ -173,28 +174,6 @@ def typed_cell(c: Column) -> Column:
     return F.struct(kind.alias("kind"), number.alias("number"), F.when(kind == "audio", c).alias("path"), F.when(kind == "text", c).alias("text"))
 
 
-def read_matrix(spark: SparkSession, path: str, dim: int | None = None, dtype: str = "<f4", rows_per_batch: int = 4096) -> DataFrame:
-    """(file, row, embedding) of dense matrix files: .npy with their own header, or bare rows of `dim` numbers; half floats become floats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = data.as_buffer()
-                if bytes(raw[:6]) == b"\x93NUMPY":
-                    f = io.BytesIO(raw)
-                    version = np.lib.format.read_magic(f)
-                    shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
-                    m = np.frombuffer(raw, kind, offset=f.tell()).reshape(shape)
-                else:
-                    m = np.frombuffer(raw, dtype).reshape(-1, dim)
-                for at in range(0, len(m), rows_per_batch):
-                    part = m[at : at + rows_per_batch].astype("float32")
-                    ends = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))], names=["file", "row", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, embedding array<float>")
-
-
 def concatenated(matrices: DataFrame) -> DataFrame:
     """(row, embedding) of the rows of several matrix files as one, in order of file and row."""
     sizes = matrices.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
@@ -202,20 +181,27 @@ def concatenated(matrices: DataFrame) -> DataFrame:
     return matrices.join(F.broadcast(starts), "file").select((F.col("start") + F.col("row")).alias("row"), "embedding")
 
 
+def _by_lists(a: pa.ListArray, values: pa.Array) -> pa.Array:
+    """The lists of a with other values."""
+    return pa.ListArray.from_arrays(a.offsets, values, mask=a.is_null() if a.null_count else None)
+
+
 def half_bits(values: Column) -> Column:
     """Numbers as the 16-bit patterns of half floats, for engines without them."""
 
-    @F.pandas_udf("array<int>")
-    def run(s):
-        return s.map(lambda v: np.asarray(v, np.float16).view(np.int16).astype(int).tolist(), na_action="ignore")
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array) -> pa.Array:
+        a = pa.concat_arrays([a])
+        return _by_lists(a, pa.array(a.values.to_numpy(zero_copy_only=False).astype(np.float16).view(np.int16).astype(np.int32)))
 
     return run(values)
 
 
 def from_half_bits(bits: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(s):
-        return s.map(lambda v: np.asarray(v, np.int16).view(np.float16).astype(np.float32), na_action="ignore")
+    @F.arrow_udf("array<float>")
+    def run(a: pa.Array) -> pa.Array:
+        a = pa.concat_arrays([a])
+        return _by_lists(a, pa.array(a.values.to_numpy(zero_copy_only=False).astype(np.int16).view(np.float16).astype(np.float32)))
 
     return run(bits)
 
