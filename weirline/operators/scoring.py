@@ -51,11 +51,3 @@ def corpus_bleu(df: DataFrame, groups: list[str], row: list[str], hyp: str, ref:
     scores = m.withColumn("p", p).groupBy(*groups).agg(F.avg(F.log("p")).alias("mean"))
     lengths = rows.groupBy(*groups).agg(F.sum(F.size("h")).alias("lh"), F.sum(F.size("r")).alias("lr"))
     return scores.join(lengths, groups).select(*groups, (100 * F.exp("mean") * F.exp(F.least(F.lit(0.0), 1 - F.col("lr") / F.col("lh")))).alias("bleu"))
-
-
-def kendall(counts: DataFrame) -> DataFrame:
-    """(kendall): tau-b of counts (x, y, n) of a few different values."""
-    a, b = counts.toDF("xa", "ya", "na"), counts.toDF("xb", "yb", "nb")
-    w, sx, sy = F.col("na") * F.col("nb"), F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    both = a.join(b, (F.col("xa") <= F.col("xb")) | (F.col("xa") > F.col("xb")))
-    return both.agg(F.round(F.sum(w * sx * sy) / F.sqrt(F.sum(w * F.abs(sx)) * F.sum(w * F.abs(sy))), 6).alias("kendall"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from weirline.plans import aggregates, corpus, joins, learned, rows, scores, sequences, spans, stored, strings  # noqa: F401
+    from weirline.plans import aggregates, corpus, joins, learned, matches, rows, scores, sequences, spans, stored, strings  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weirline.functions import alignment as A
-from weirline.operators import scoring
+from weirline.operators import ranks, scoring
 from weirline.plans.registry import query
 from weirline.plans.strings import PAIRS, pairs
 
@@ -178,7 +178,6 @@ def cnt_speech_units(t):
 select round((select corr(quality, toxic) from labels), 6) as pearson, round(sum(w * sx * sy) / sqrt(sum(w * abs(sx)) * sum(w * abs(sy))), 6) as kendall from p"""
 )
 def cnt_correlations(t):
-    """CNT-33: Pearson and Kendall's tau-b, by counts of the different values and not by pairs of rows."""
-    lab = t("labels")
-    c = lab.groupBy(F.col("quality").alias("x"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
-    return lab.agg(F.round(F.corr("quality", "toxic"), 6).alias("pearson")).crossJoin(F.broadcast(scoring.kendall(c)))
+    """CNT-33: Pearson and Kendall's tau-b, by counts and not by pairs of rows or values."""
+    p = ranks.pair_counts(ranks.counted(t("labels"), "quality", "toxic"))
+    return t("labels").agg(F.round(F.corr("quality", "toxic"), 6).alias("pearson"), F.round(F.max(F.lit(p.tau_b()).cast("double")), 6).alias("kendall"))
