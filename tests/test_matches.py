@@ -76,3 +76,70 @@ def test_exclusive_matches_equal_the_loop(spark):
         assert sorted(map(tuple, got.collect())) == greedy(pairs, *sets)
     none = spark.createDataFrame([], "key string, i long, j long, score double")
     assert matching.exclusive_matches(none, *near).count() == 0
+
+
+def walk(parent, targets, node, not_itself):
+    """Up the tree, the heaviest target below, by a plain walk."""
+    up, at = 0, node
+    while at is not None:
+        below = []
+        for t, w in targets.items():
+            x = t
+            while x is not None and x != at:
+                x = parent.get(x)
+            if x == at and not (not_itself and t == node):
+                below.append((-w, t))
+        if below:
+            return min(below)[1], up
+        at, up = parent.get(at), up + 1
+    return None
+
+
+def test_nearest_relatives_against_a_walk(spark):
+    import pytest
+
+    from weirline.operators import family
+
+    r = random.Random(3)
+    parent = {"n00": None} | {f"n{k:02}": f"n{r.randrange(max(0, k - 6), k):02}" for k in range(1, 48)} | {"o1": None, "o2": "o1"}
+    targets = {n: float(r.randint(1, 3)) for n in r.sample(sorted(parent), 9) if n[0] == "n"}
+    nodes = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    df = spark.createDataFrame(list(targets.items()), "id string, weight double")
+    for own in (False, True):
+        got = {x.id: (x.relative, x.up) for x in family.nearest_relatives(nodes, df, own).collect()}
+        assert got == {n: w for n in parent if (w := walk(parent, targets, n, own))}
+    circle = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")
+    with pytest.raises(ValueError):
+        family.DEEPEST, deepest = 4, family.DEEPEST
+        try:
+            family.ancestors(circle)
+        finally:
+            family.DEEPEST = deepest
+
+
+def test_forced_alignment(spark):
+    import numpy as np
+
+    from weirline.operators import sequences as S
+
+    r = np.random.default_rng(6)
+    soft = lambda x: [np.exp(v - max(v)) / sum(np.exp(v - max(v))) for v in x]
+    for n, m in ((1, 1), (3, 5), (6, 4), (4, 4)):
+        for _ in range(5):
+            of_a, of_b = sorted([*range(n), *r.integers(0, n, 2).tolist()]), sorted([*range(m), *r.integers(0, m, 3).tolist()])
+            a, b = r.normal(size=(len(of_a), 6)), r.normal(size=(len(of_b), 6))
+            s = a @ b.T
+            rows, cols = np.array(soft(s)), np.array(soft(s.T)).T
+            sure = {(of_a[i], of_b[j]) for i in range(len(of_a)) for j in range(len(of_b)) if rows[i, j] > 0.2 and cols[i, j] > 0.2}
+            rows, cols = np.array(soft(s * 1e-3)), np.array(soft((s * 1e-3).T)).T
+            free_a, free_b, extra = set(range(n)) - {i for i, _ in sure}, set(range(m)) - {j for _, j in sure}, set()
+            while free_a or free_b:
+                ways = [(rows[i, j], 1, -i, -j) for i in range(len(of_a)) for j in range(len(of_b)) if of_a[i] in free_a]
+                back = [(cols[i, j], 2, -i, -j) for i in range(len(of_a)) for j in range(len(of_b)) if of_b[j] in free_b]
+                _, _, i, j = max(ways + back)
+                extra.add((of_a[-i], of_b[-j]))
+                free_a, free_b = free_a - {of_a[-i]}, free_b - {of_b[-j]}
+            got = S.align_forced(a, b, of_a, of_b, 0.2)
+            assert got == (sure, extra)
+            assert {i for i, _ in sure | extra} == set(range(n)) and {j for _, j in sure | extra} == set(range(m))
+    assert S.align_forced(np.empty((0, 6)), np.ones((1, 6)), [], [0]) == (set(), set())

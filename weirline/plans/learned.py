@@ -63,6 +63,24 @@ def udf_word_alignment(t):
     return e.join(nxt, "vec_id").select("vec_id", F.explode(find("embedding", "other")).alias("p")).select("vec_id", "p.i", "p.j")
 
 
+@query()
+def udf_forced_alignment(t):
+    """UDF-13: sure word pairs and a possible one for every other word: sixteen subwords of eight words from each of two rows' vectors."""
+    words = [k // 2 for k in range(16)]
+
+    @F.pandas_udf("array<struct<i:int,j:int,sure:boolean>>")
+    def find(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            sure, possible = S.align_forced(8 * np.asarray(x).reshape(16, -1), 8 * np.asarray(y).reshape(16, -1), words, words, 0.15)
+            out.append([{"i": i, "j": j, "sure": kind} for pairs, kind in ((sure, True), (possible, False)) for i, j in sorted(pairs)])
+        return pd.Series(out, dtype=object)
+
+    e = t("embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", F.explode(find("embedding", "other")).alias("p")).select("vec_id", "p.*")
+
+
 @query()
 def cnt_kmeans(t):
     """CNT-28: rows of each of eight k-means clusters of the vectors."""

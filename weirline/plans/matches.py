@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weirline.operators import intervals, matching, ranks
+from weirline.operators import family, intervals, matching, ranks
 from weirline.plans.registry import query
 
 #: Segments last a minute for each unit of value; pairs start in the same two hours.
@@ -40,3 +40,32 @@ def cnt_rank_statistics(t):
     counts = ranks.counted(t("customer"), "c_acctbal", "c_nationkey")
     p = ranks.pair_counts(counts)
     return ranks.spearman(counts).select(F.lit(p.tau_b()).cast("double").alias("kendall"), F.round("spearman", 6).alias("spearman"), F.lit(p.ordered_share()).cast("double").alias("share")).select(F.round("kendall", 6).alias("kendall"), "spearman", F.round("share", 6).alias("share"))
+
+
+@query(
+    """with recursive nodes as (select 's' || s_suppkey as id, 'n' || s_nationkey as parent from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey from nation union all select 'r' || r_regionkey, null from region),
+line as (select id, id as ancestor, 0 as up from nodes union all select line.id, nodes.parent, up + 1 from line join nodes on nodes.id = line.ancestor where nodes.parent is not null),
+below as (select ancestor, 's' || s_suppkey as relative, s_acctbal as w from line join supplier on line.id = 's' || s_suppkey where s_acctbal > 9000),
+r as (select line.id, relative, up, row_number() over (partition by line.id order by up, w desc, relative) as k from line join below using (ancestor))
+select id, relative, up from r where k = 1"""
+)
+def jn_nearest_relative(t):
+    """JN-19: for every node of a tree (suppliers below nations below regions) the nearest of some leaves, the heaviest of equally near ones."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = t("supplier").select(name("s", "s_suppkey").alias("id"), name("n", "s_nationkey").alias("parent"))
+    nodes = nodes.unionByName(t("nation").select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent")))
+    nodes = nodes.unionByName(t("region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent")))
+    return family.nearest_relatives(nodes, t("supplier").where("s_acctbal > 9000").select(name("s", "s_suppkey").alias("id"), F.col("s_acctbal").alias("weight")))
+
+
+PLACE = "(select c_custkey as id, c_acctbal / 120 as latitude, (c_custkey * 37 % 360) - 180 as longitude from customer)"
+
+
+@query(
+    f"""with p as (select id, radians(latitude) as a, radians(longitude) as b from {PLACE}), d as (select x.id, y.id as relative, cos(x.a) * cos(x.b) * cos(y.a) * cos(y.b) + cos(x.a) * sin(x.b) * cos(y.a) * sin(y.b) + sin(x.a) * sin(y.a) as sim from p x, p y where y.id % 50 = 0)
+select id, relative from (select *, row_number() over (partition by id order by round(sim, 9) desc, relative) as r from d) where r = 1"""
+)
+def jn_nearest_place(t):
+    """JN-19: the fallback by great-circle distance: of every fiftieth customer's place the one nearest to each customer's."""
+    p = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 120).alias("latitude"), (F.col("c_custkey") * 37 % 360 - 180).alias("longitude"))
+    return family.nearest_places(p, p.where("id % 50 = 0"))
