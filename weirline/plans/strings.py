@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weirline.functions import numerals as N
 from weirline.functions import text as X
-from weirline.operators import filters
-from weirline.operators import phrases
+from weirline.operators import filters, phrases
 from weirline.plans.registry import query
 
 
@@ -276,3 +276,36 @@ def prj_split_fields(t):
 def prj_prefixed_lines(t):
     """PRJ-06: lines by prefix."""
     return t("documents").where(F.startswith("text", F.lit("The"))).select("doc_id", F.expr("substr(text, 4)").alias("rest"))
+
+
+BENGALI = "[" + ", ".join(sq(w) for w in N.BENGALI) + "]"
+
+
+@query(
+    f"""with w as (select {BENGALI} as w), x as (select o_orderkey, o_orderkey * 1000003 % 100000007 as n from orders)
+select o_orderkey, array_to_string(list_filter([case when n >= 10000000 then w[n // 10000000 + 1] || ' কোটি' end, case when n % 10000000 >= 100000 then w[n % 10000000 // 100000 + 1] || ' লক্ষ' end,
+  case when n % 100000 >= 1000 then w[n % 100000 // 1000 + 1] || ' হাজার' end, case when n % 1000 >= 100 then w[n % 1000 // 100 + 1] || ' শত' end, case when n % 100 > 0 or n = 0 then w[n % 100 + 1] end], lambda z: z is not null), ' ') as words from x, w"""
+)
+def str_bengali_numbers(t):
+    """STR-28: numbers up to crores in Bengali words."""
+    n = (F.col("o_orderkey") * 1000003 % 100000007).cast("string")
+    return t("orders").select("o_orderkey", N.numbers_in_words(n, "bn").alias("words"))
+
+
+@query(
+    """with x as (select o_orderkey, cast(o_orderkey % 10000 as varchar) as n from orders), d as (select o_orderkey, n, unnest(range(1, length(n) + 1)) as k from x),
+p as (select o_orderkey, n, k, cast(n[k] as int) as v, length(n) - k as power, coalesce(try_cast(n[k - 1] as int), -1) as before, rtrim(n[k:], '0') = '' as rest from d),
+y as (select o_orderkey, string_agg(case when v > 0 then case when v = 2 and power > 1 and before <> 0 then '两' when v = 1 and power = 1 and k = 1 then '' else '零一二三四五六七八九'[v + 1] end || ['', '十', '百', '千'][power + 1]
+  when n = '0' then '零' when not rest and before <> 0 then '零' else '' end, '' order by k) as words from p group by o_orderkey) select o_orderkey, words || '个' as words from y"""
+)
+def str_chinese_counts(t):
+    """STR-29: counts up to ten thousand in Chinese words."""
+    n = F.concat((F.col("o_orderkey") % 10000).cast("string"), F.lit("个"))
+    return t("orders").select("o_orderkey", N.numbers_in_words(n, "zh").alias("words"))
+
+
+@query()
+def str_chinese_text(t):
+    """STR-29: dates, money, percents and numbers that stand in texts in Chinese words."""
+    d = t("orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("付"), F.col("o_totalprice").cast("string"), F.lit("元，占"), (F.col("o_orderkey") % 100).cast("string"), F.lit("%")).alias("text"))
+    return d.select("o_orderkey", N.numbers_in_words(F.col("text"), "zh").alias("text"))
