@@ -25,17 +25,23 @@ def staged(df: DataFrame, src: str, tgt: str, order: list, max_target: int | Non
 def seen_flags(df: DataFrame, src: str, tgt: str, order: list[str]) -> DataFrame:
     """first_pair, first_src, first_tgt: whether a row is the first of its pair, source and target by `order`; rejected rows count as seen.
 
-    Firsts are partial minima a key, joined back, so a source with a third of all rows is
-    not gathered anywhere; the join may be split.
+    Keys are 128 bits of hashes, so no text is exchanged: firsts of all three kinds are
+    partial minima of one narrow table, and what they say goes back by the order columns.
     """
-    at = F.struct(*order)
-    for name, key in (("first_pair", [src, tgt]), ("first_src", [src]), ("first_tgt", [tgt])):
-        first = df.groupBy(F.xxhash64(*key).alias("_h"), *(F.col(k).alias(f"_{k}") for k in key)).agg(F.min(at).alias("_first"))
-        same = F.xxhash64(*key) == F.col("_h")
-        for k in key:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        df = df.join(first, same).withColumn(name, at == F.col("_first")).drop("_h", "_first", *(f"_{k}" for k in key))
-    return df
+
+    def named(kind: int, *cols: str) -> Column:
+        own = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(1), *own).alias("h2"))
+
+    keys = F.explode(F.array(named(0, src, tgt), named(1, src), named(2, tgt))).alias("k")
+    firsts = df.select(*order, keys).groupBy("k").agg(F.min(F.struct(*order)).alias("at"))
+    flags = firsts.groupBy("at").agg(*(F.max(F.col("k.kind") == n).alias(c) for n, c in enumerate(("first_pair", "first_src", "first_tgt"))))
+    flags = flags.select(*(F.col(f"at.{c}").alias(f"_{c}") for c in order), "first_pair", "first_src", "first_tgt")
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    back = df.join(flags, same, "left").drop(*(f"_{c}" for c in order))
+    return back.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("first_pair", "first_src", "first_tgt")})
 
 
 def without_seen(train: DataFrame, evaluation: DataFrame, key: Column, name: str = "_key") -> DataFrame:
