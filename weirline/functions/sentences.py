@@ -22,6 +22,10 @@ BEFORE = {"amh": (("፡፡", "።"), ("። •", "።"), ("? •", "?"), ("! •
 BEFORE |= {"tir": BEFORE["amh"], "shn": BEFORE["mya"]}
 AFTER = {"mya": (("APOS။", "။”"),), "shn": (("APOS။", "။”"),)}
 
+# Urdu words that end a clause, and those that go on with it.
+URDU_ENDS = "کیجیے کیجئے گئیں تھیں ہوں خریدا گے ہونگے گا چاہیے ہوئیں گی تھا تھی تھے ہیں ہے".split()
+URDU_JOINS = "جنہیں جس جن جو اور اگر اگرچہ لیکن مگر پر یا تاہم کہ کر تو گے گی".split()
+
 END, START = "[.!?…]", "[\\p{Lu}\\p{N}\"'¿¡(]"
 
 
@@ -40,6 +44,22 @@ def split_sentences(t: Column, lang: str = "en") -> Column:
     return out
 
 
+def split_urdu(t: Column) -> Column:
+    """Urdu sentences: behind a full stop or question mark, and behind a word that ends a clause unless the next goes on with it; those of one word go."""
+    ends, joins = "|".join(URDU_ENDS), "|".join(URDU_JOINS)
+    several = lambda x: F.size(F.filter(F.split(x, "\\s+"), lambda w: w != "")) >= 2
+
+    def clauses(s: Column) -> Column:
+        one = F.trim(F.regexp_replace(s, "\\s+", " "))
+        one = F.regexp_replace(one, f"(?<![^ ])({ends}) ([۔،])(?= |$)", "$1 $2\n")
+        one = F.regexp_replace(one, f"(?<![^ ])({ends})(?= )(?! (?:{joins})(?: |$))(?! [۔،](?: |\n|$))", "$1\n")
+        return F.filter(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), several)
+
+    stops = F.filter(F.split(t, "(?<=۔)"), several)
+    asked = F.flatten(F.transform(stops, lambda x: F.split(x, "(?<=؟)")))
+    return F.flatten(F.transform(asked, clauses))
+
+
 def split_by_language(t: Column, lang: Column, rules: tuple[str, ...] = (*PATTERNS, "hye")) -> Column:
     """split_sentences() with the rule of each row's language."""
     out = split_sentences(t)

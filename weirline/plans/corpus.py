@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirline.functions import sentences as S
 from weirline.functions import text as X
-from weirline.operators import filters
+from weirline.operators import filters, lattice
 from weirline.plans.registry import query
 from weirline.plans.strings import GATE, PAIRS, n_of, pairs, replaced, sq
 
@@ -222,3 +222,13 @@ def flt_either_toxic(t):
 def tox_substrings(t):
     """TOX-03: the substring checker."""
     return t("documents").select("doc_id", F.size(X.toxic_substrings(F.col("text"), ["worth", "the", "ß"])).alias("n_substring"))
+
+
+@query()
+def str_dictionary_words(t):
+    """STR-22: the items of benchmark without their spaces, in Thai letters, cut by a dictionary of the documents' words."""
+    thai = lambda c: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", "กขคงจฉชซญดตถทธนบปผฝพฟมยรลว")
+    words = t("documents").where("lang = 'en'").select(F.explode(F.split(thai(F.regexp_replace("text", "[^A-Za-z\\s]", "")), "\\s+")).alias("word"))
+    runs = t("benchmark").select("item_id", thai(F.regexp_replace("text", "[^A-Za-z]", "")).alias("run"))
+    found = lattice.dictionary_words(runs, "run", words.groupBy("word").agg(F.count("*").alias("n")))
+    return found.select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
