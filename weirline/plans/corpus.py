@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weirline.functions import sentences as S
 from weirline.functions import text as X
-from weirline.operators import filters, lattice
+from weirline.operators import filters, langid, lattice
 from weirline.plans.registry import query
 from weirline.plans.strings import GATE, PAIRS, n_of, pairs, replaced, sq
 
@@ -232,3 +231,35 @@ def str_dictionary_words(t):
     runs = t("benchmark").select("item_id", thai(F.regexp_replace("text", "[^A-Za-z]", "")).alias("run"))
     found = lattice.dictionary_words(runs, "run", words.groupBy("word").agg(F.count("*").alias("n")))
     return found.select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+LANGUAGE_SQL = """with t as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as x from documents where text is not null),
+g as (select doc_id, lang, x[i:i + 2] as gram from (select *, unnest(range(1, length(x) - 1)) as i from t)),
+c as (select lang as label, gram, count(*) as n from g where lang is not null and doc_id % 5 <> 0 group by all having count(*) >= 5),
+tot as (select label, sum(n) + (select count(distinct gram) from c) as total from c group by label),
+o as (select doc_id, gram, count(*) as k from g group by all),
+s as (select doc_id, label, sum(k * ln((coalesce(n, 0) + 1) / total)) as s, sum(k) as size from o cross join tot left join c using (label, gram) group by all),
+r as (select *, row_number() over (partition by doc_id order by s desc, label) as r, s - lead(s) over (partition by doc_id order by s desc, label) as lead, max(s) over (partition by doc_id) as top from s),
+p as (select doc_id, max(label) filter (r = 1) as label, 1 / sum(exp(s - top)) as prob, max(lead / size) filter (r = 1) as margin from r group by doc_id)"""
+
+
+def language_model(t):
+    return langid.train(t("documents").where("doc_id % 5 <> 0"), "text", "lang")
+
+
+@query(f"{LANGUAGE_SQL} select doc_id, label, round(prob, 4) as prob, round(margin, 5) as margin from p")
+def str_language_model(t):
+    """STR-21: the language of every text by a model of letter trigrams, trained on four fifths of the labelled texts."""
+    d = t("documents").where("text is not null").select("doc_id", langid.predicted(F.col("text"), language_model(t)).alias("p"))
+    return d.where("p is not null").select("doc_id", "p.label", F.round("p.prob", 4).alias("prob"), F.round("p.margin", 5).alias("margin"))
+
+
+@query(
+    f"""{LANGUAGE_SQL} select d.lang, count(*) as n, count(*) filter (coalesce(label = d.lang and prob >= case d.lang when 'en' then 0.9 when 'de' then 0.99 else 0.5 end, false)) as kept
+from documents d left join p using (doc_id) where d.doc_id % 5 = 0 group by d.lang"""
+)
+def flt_language_model(t):
+    """FLT-07, FLT-10, FLT-17: held-out rows whose predicted language is their own, with a threshold for each label; counters."""
+    d = t("documents").where("doc_id % 5 = 0").select("lang", langid.predicted(F.col("text"), language_model(t)).alias("p"))
+    keep = langid.accepted(F.col("p"), F.col("lang"), {"en": 0.9, "de": 0.99})
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(keep).alias("kept"))
