@@ -80,14 +80,14 @@ from n5 join c5 on n5.e.c = c5.c
 
 
 OP13_SQL = """
-with recursive w as (
+with recursive w as materialized (
   select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
   from documents
-), s as (
+), s as materialized (
   select r, doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, case when len(words) > 0 then 1 else 0 end) + 1), lambda i: array_to_string(words[i:i + 3], ' '))) as grams from w
-), g as (
+), g as materialized (
   select r, unnest(grams) as gram from s
-), f as (
+), f as materialized (
   select gram, count(*) as c from g group by gram having c > 1
 ), o as (
   select a.r as a, b.r as b, count(*) as shared
@@ -98,8 +98,8 @@ with recursive w as (
 ), n as (select a, b from e union all select b, a from e), walk as (
   select r as a, r as b from s union select walk.a, n.b from walk join n on walk.b = n.a
 )
-select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, (select min(t.doc_id) from walk join s as t on walk.b = t.r where walk.a = s.r) as component_id
-from s
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, m.c as component_id
+from s join (select walk.a as a, min(t.doc_id) as c from walk join s as t on walk.b = t.r group by walk.a) as m on m.a = s.r
 """
 
 
