@@ -61,8 +61,9 @@ def money(match: re.Match) -> str:
     return ", ".join(said) or "zero dollars"
 
 
+#: Spaces inside numbers: between groups of three digits, or (joined) between any digits.
+GROUPED, ANY_SPACES = re.compile(r"(?<![0-9.,])[1-9][0-9]{0,2}(?: [0-9]{3})+(?![0-9])"), re.compile(r"[0-9][0-9 ]+[0-9]")
 STEPS = (
-    (re.compile(r"[0-9][0-9 ]+[0-9]"), lambda m: m[0].replace(" ", "")),
     (re.compile(r"[0-9][0-9,.]*\s*%"), lambda m: m[0].replace(" ", "").replace("%", " percent")),
     (re.compile(r"[0-9][0-9,]+[0-9]"), lambda m: m[0].replace(",", "")),
     (re.compile(r"£([0-9]+)"), lambda m: f"{m[1]} pounds"),
@@ -73,18 +74,20 @@ STEPS = (
 )
 
 
-def number_words(text: str) -> str:
+def number_words(text: str, joined: bool = False) -> str:
+    """Numbers of a text in words. Digits that spaces part are one number where they are groups of three, or always (joined)."""
+    text = (ANY_SPACES if joined else GROUPED).sub(lambda m: m[0].replace(" ", ""), text)
     for pattern, say in STEPS:
         text = pattern.sub(say, text)
     return text
 
 
-def expand_numbers(t: Column) -> Column:
+def expand_numbers(t: Column, joined: bool = False) -> Column:
     """Percents, pounds, dollars, decimals, ordinals, years and other numbers in words."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(number_words, na_action="ignore")
+        return s.map(lambda x: number_words(x, joined), na_action="ignore")
 
     return F.when(t.rlike("[0-9]"), run(t)).otherwise(t)
 

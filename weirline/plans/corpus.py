@@ -234,10 +234,10 @@ def str_dictionary_words(t):
 
 
 LANGUAGE_SQL = """with t as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as x from documents where text is not null),
-g as (select doc_id, lang, x[i:i + 2] as gram from (select *, unnest(range(1, length(x) - 1)) as i from t)),
-c as (select lang as label, gram, count(*) as n from g where lang is not null and doc_id % 5 <> 0 group by all having count(*) >= 5),
+g as materialized (select doc_id, lang, x[i:i + 2] as gram from (select *, unnest(range(1, length(x) - 1)) as i from t)),
+c as materialized (select lang as label, gram, count(*) as n from g where lang is not null and doc_id % 5 <> 0 group by all having count(*) >= 5),
 tot as (select label, sum(n) + (select count(distinct gram) from c) as total from c group by label),
-o as (select doc_id, gram, count(*) as k from g group by all),
+o as materialized (select doc_id, gram, count(*) as k from g group by all),
 s as (select doc_id, label, sum(k * ln((coalesce(n, 0) + 1) / total)) as s, sum(k) as size from o cross join tot left join c using (label, gram) group by all),
 r as (select *, row_number() over (partition by doc_id order by s desc, label) as r, s - lead(s) over (partition by doc_id order by s desc, label) as lead, max(s) over (partition by doc_id) as top from s),
 p as (select doc_id, max(label) filter (r = 1) as label, 1 / sum(exp(s - top)) as prob, max(lead / size) filter (r = 1) as margin from r group by doc_id)"""
