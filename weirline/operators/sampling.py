@@ -77,3 +77,13 @@ def offsets(df: DataFrame, size: str, order: str, within: str, name: str, bucket
     inside = F.coalesce(F.sum(size).over(ahead(Window.partitionBy(within, "_b").orderBy(F.col(order).asc_nulls_last()))), F.lit(0))
     placed = cut.join(sums, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_c")))
     return placed.withColumn(name, F.col("_start") + inside).drop("_b", "_w", "_c", "_start")
+
+
+def running_max(cut: DataFrame, value: str, order: str, within: str, name: str, upto: int = 0) -> DataFrame:
+    """df of ranges(df, order, "_b") with the greatest value of the rows of `within` up to each row (upto=-1: before it), by range first, then inside ranges; nulls are passed over."""
+    tops = cut.groupBy(F.col(within).alias("_w"), F.col("_b").alias("_c")).agg(F.max(value).alias("_n"))
+    before = Window.partitionBy("_w").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_w", "_c", F.max("_n").over(before).alias("_top"))
+    inside = F.max(value).over(Window.partitionBy(within, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, upto))
+    placed = cut.join(tops, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn(name, F.greatest("_top", inside)).drop("_w", "_c", "_top")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weirline.operators import batching as B
 from weirline.operators import models
 from weirline.operators import sequences as S
 from weirline.plans.registry import query
@@ -76,10 +77,9 @@ select event_id, user_id, segment from k"""
 def win_capped_segments(t):
     """WIN-04: segments from boundary flags and a duration cap that acts at split points."""
 
-    def cut(g):
-        return g.assign(segment=S.capped_segments(g["value"].fillna(0.0), g["event_type"] == "error", g["event_type"].isin(["click", "view"]), 120.0))[["event_id", "user_id", "segment"]]
-
-    return S.per_group(t("events").select("event_id", "user_id", "ts", "value", "event_type"), ["user_id"], ["ts", "event_id"], cut, "event_id long, user_id long, segment int")
+    kinds = B.capped_ends("value", lambda x: x["event_type"] == "error", lambda x: x["event_type"].isin("click", "view"), 120.0)
+    e = t("events").select("event_id", "user_id", "ts", "value", "event_type")
+    return B.numbered_runs(e, ["user_id"], ["ts", "event_id"], kinds, "segment").select("event_id", "user_id", "segment")
 
 
 @query(
@@ -138,11 +138,44 @@ select doc_id, part, batch from k"""
 def src_padded_batches(t):
     """SRC-32, SRT-05: batches by length within a padded size, in 64 parts of each source so that none is gathered whole."""
 
-    def batch(g):
-        return g.assign(batch=S.padded_batches(g["n_chars"], 20_000))[["doc_id", "part", "batch"]]
-
     part = F.concat_ws(":", "source", (F.col("doc_id") % 64).cast("string"))
-    return S.per_group(t("documents").select("doc_id", part.alias("part"), "n_chars"), ["part"], ["doc_id"], batch, "doc_id long, part string, batch int")
+    d = t("documents").select("doc_id", part.alias("part"), "n_chars")
+    return B.numbered_runs(d, ["part"], ["n_chars", "doc_id"], B.padded_ends("n_chars", 20_000), "batch").select("doc_id", "part", "batch")
+
+
+EPOCH = """d as (select doc_id, coalesce(length(text), 0) as n, doc_id // 64 as f, md5('7:' || doc_id) as h from documents),
+fr as (select f, ((row_number() over (order by f) - 1) * 2) // count(*) over () as rank from (select distinct f from d)),
+st as (select f, rank, (row_number() over (partition by rank order by md5('7:' || f), f) - 1) // 3 as step from fr),
+g as (select doc_id, n, h, rank, step, greatest(2, floor(quantile_cont(n, 0.001) over (partition by rank, step)))::bigint as spread from d join st using (f)),
+o as (select *, row_number() over (partition by rank, step order by m, h, doc_id) - 1 as i, count(*) over (partition by rank, step) as c from (select *, n + ('0x' || h[1:8])::bigint % spread as m from g))"""
+
+
+@query(
+    f"""with recursive {EPOCH},
+k as (select rank, step, i, m, 0::bigint as start, false as cut from o where i = 0 union all
+  select o.rank, o.step, o.i, o.m, case when o.m * (o.i - k.start) > 20000 then o.i - 1 else k.start end, o.m * (o.i - k.start) > 20000 from k join o on o.rank = k.rank and o.step = k.step and o.i = k.i + 1),
+cuts as (select rank, step, i - 1 as at from k where cut union select rank, step, 0 from o where i = 0),
+b as (select o.rank, o.step, o.doc_id, o.i, max(cuts.at) as start from o join cuts on cuts.rank = o.rank and cuts.step = o.step and cuts.at <= o.i group by all),
+gone as (select k.rank, k.step, k.start from k join o on o.rank = k.rank and o.step = k.step and o.i = k.i where o.i = o.c - 1 and o.m > 20000),
+kept as (select * from b where (rank, step, start) not in (select (rank, step, start) from gone)),
+sized as (select rank, step, start from kept group by all having count(*) >= 2)
+select doc_id, rank::int as rank, step::int as step, (dense_rank() over (partition by rank, step order by md5('7:' || start), start) - 1)::int as batch, (i - start)::int as at from kept join sized using (rank, step, start)"""
+)
+def src_epoch_tokens(t):
+    """SRC-31, SRC-32, SRC-33, SRT-05: an epoch of two ranks in batches of at most about 20,000 padded characters, two documents at least a batch."""
+    d = t("documents").select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("fragment"))
+    out = B.epoch(d, "fragment", "doc_id", max_tokens=20_000, length="text", min_rows=2, ranks=2, together=3, seed=7)
+    return out.select("doc_id", "rank", "step", "batch", "at")
+
+
+@query(
+    f"with {EPOCH}, b as (select *, (i // 16) * 16 as start from o) select doc_id, rank::int as rank, step::int as step, (dense_rank() over (partition by rank, step order by md5('7:' || start)) - 1)::int as batch, (i - start)::int as at from b where rank = 1"
+)
+def src_epoch_rows(t):
+    """SRC-31, SRT-05: the second rank's epoch in batches of sixteen rows of near lengths."""
+    d = t("documents").select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("fragment"))
+    out = B.epoch(d, "fragment", "doc_id", batch_size=16, length="text", rank=1, ranks=2, together=3, seed=7)
+    return out.select("doc_id", "rank", "step", "batch", "at")
 
 
 @query()
