@@ -87,6 +87,35 @@ def test_dense_ball_and_hot_bucket(spark, monkeypatch):
     assert labels(edges + [(r.u, r.v) for r in met.collect()]) == want
 
 
+def test_every_layout_finds_every_link(spark, monkeypatch):
+    from weirline.llm.common import Scratch
+
+    rng = np.random.default_rng(6)
+    centre = int(rng.integers(1 << 62)) | 1 << 63
+    fps = sorted({centre ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))}) for _ in range(90)} | {int(x) for x in rng.integers(0, 1 << 62, 20)})
+    want = brute(dict(enumerate(fps)))
+    reps = spark.createDataFrame(list(zip(np.array(fps, np.uint64).view(np.int64).tolist(), range(len(fps)))), "fp long, rep long")
+    sizes = set()
+    for share, segments in simhash.layouts():
+        monkeypatch.setattr(simhash, "MEMBERS", len(fps) * share * 1.01)
+        assert simhash.layout(len(fps)) == segments
+        sizes.add(len(segments))
+        forest = simhash.Forest()
+        for e in simhash.linked(reps, Scratch(spark, "layouts")).collect():
+            forest.join(e.u, e.v)
+        assert {i: forest.root(i) for i in range(len(fps))} == want
+    assert sizes == {3, 35, 70} and len(simhash.layout(1 << 60)) == 70
+
+
+def test_layouts_leave_no_pair_out():
+    r = np.random.default_rng(7)
+    for _, segments in simhash.layouts():
+        assert all(len({b for low, w in parts for b in range(low, low + w)}) == sum(w for _, w in parts) <= 32 for parts, _ in segments)
+        for _ in range(3000):
+            bits = set(r.choice(64, 4, replace=False).tolist())
+            assert any(sum(low <= b < low + w for b in bits for low, w in parts) <= radius for parts, radius in segments)
+
+
 def test_components_of_paths_and_stars(spark):
     from weirline.llm.common import Scratch, connected_components
 

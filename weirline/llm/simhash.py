@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ RADIUS = 4
 #: (lowest bit, width, radius) of each segment. The radii plus one sum to 5 > RADIUS, so two
 #: fingerprints at most RADIUS apart agree within its radius on one segment at least.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: (blocks, agreeing) of indexes without balls: RADIUS bits touch at most that many of the blocks, so the others, three of seven or four of eight, agree.
+BLOCKS = ((7, 3), (8, 4))
+#: Rows a bucket has on average, of evenly spread fingerprints, beyond which an index of wider keys is taken.
+MEMBERS = 256
 #: Members of a segment bucket beyond which its members meet through ball centres instead.
 HOT_BUCKET = 8192
 
@@ -60,22 +65,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def segment_keys() -> str:
+Layout = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def layouts() -> list[tuple[float, Layout]]:
+    """(share of all rows that a bucket holds, segments), narrow keys first; a segment is its parts (lowest bit, width) and a radius.
+
+    Each layout finds every pair at most RADIUS bits apart. SEGMENTS writes about 24 keys a
+    row, of 21 and 22 bits (itself and one turned-on bit of those at zero); three of seven
+    blocks 35 keys of 27 bits, four of eight 70 keys of 32 bits.
+    """
+    share = max((1 + r * width / 2) / (1 << width) for _, width, r in SEGMENTS)
+    out: list[tuple[float, Layout]] = [(share, [(((low, width),), r) for low, width, r in SEGMENTS])]
+    for n, agreeing in BLOCKS:
+        cuts = [64 * k // n for k in range(n + 1)]
+        parts = [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+        every: Layout = [(c, 0) for c in combinations(parts, agreeing)]
+        out.append((max(2.0 ** -sum(w for _, w in c) for c, _ in every), every))
+    return out
+
+
+def layout(rows: int) -> Layout:
+    """The first of layouts() whose buckets hold at most MEMBERS rows on average, the last where none does."""
+    every = layouts()
+    return next((x for share, x in every if rows * share <= MEMBERS), every[-1][1])
+
+
+def segment_keys(segments: Layout) -> str:
     """SQL array of structs (key, exact): the segment values of fp, and those one 0-bit away where the radius is 1.
 
     Of two values one bit apart one has the 0-bit there, so turning on 0-bits is enough.
     """
-    parts = []
-    for i, (low, width, radius) in enumerate(SEGMENTS):
-        value = f"(shiftrightunsigned(fp, {low}) & {(1 << width) - 1}L)"
-        tag = f"{i << 32}L"
-        parts.append(f"array(struct({value} | {tag} as key, true as exact))")
+    out = []
+    for i, (blocks, radius) in enumerate(segments):
+        at = np.cumsum([0] + [w for _, w in blocks]).tolist()
+        value = " | ".join(f"shiftleft(shiftrightunsigned(fp, {low}) & {(1 << width) - 1}L, {place})" for (low, width), place in zip(blocks, at))
+        value, tag = f"({value})", f"{i << 32}L"
+        out.append(f"array(struct({value} | {tag} as key, true as exact))")
         if radius:
-            parts.append(
-                f"transform(filter(sequence(0, {width - 1}), b -> ({value} & shiftleft(1L, b)) = 0L),"
+            out.append(
+                f"transform(filter(sequence(0, {at[-1] - 1}), b -> ({value} & shiftleft(1L, b)) = 0L),"
                 f" b -> struct({value} | shiftleft(1L, b) | {tag} as key, false as exact))"
             )
-    return f"concat({', '.join(parts)})"
+    return f"concat({', '.join(out)})"
 
 
 class Forest:
@@ -176,9 +208,10 @@ def linked(reps: DataFrame, scratch: Scratch) -> DataFrame:
     Each fingerprint writes its segment values and their Hamming balls; equal keys meet in
     sorted partitions, where full distances are verified and only forest edges leave. A
     bucket of more than HOT_BUCKET members is not compared in pairs: its members meet at
-    ball centres.
+    ball centres. The index's keys widen with the count of fingerprints (layout()); reps is
+    a written table, so that its rows are counted from its footers.
     """
-    keyed = reps.selectExpr("fp", "rep", f"explode({segment_keys()}) as k").selectExpr("k.key as key", "fp", "rep", "k.exact as exact")
+    keyed = reps.selectExpr("fp", "rep", f"explode({segment_keys(layout(reps.count()))}) as k").selectExpr("k.key as key", "fp", "rep", "k.exact as exact")
     dealt = keyed.repartition("key").sortWithinPartitions("key", F.desc("exact"), "fp")
     links = scratch.table(dealt.mapInArrow(_links, "u long, v long"))
     edges = links.where("v is not null")
