@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirline.functions import sentences as T
+from weirline.functions import vectors as V
+from weirline.operators import scorer
 from weirline.operators import sequences as S
 from weirline.plans.registry import query
 from weirline.plans.strings import pairs
@@ -109,3 +111,33 @@ def udf_logistic_folds(t):
     d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id").where("text is not null and source is not null")
     d = d.select("doc_id", "source", "quality", F.log1p("n_chars").alias("size"), T.language_share(F.col("text"), "en").alias("share"))
     return grouped_folds(d, "source", ["size", "share"], "quality").select("doc_id", F.round("probability", 6).alias("probability"))
+
+
+def chained(t) -> DataFrame:
+    """(vec_id, s, m, r): vectors of three rows that follow each other, as source, translation and reference."""
+    e = t("embeddings").where(F.size("embedding") == 64)
+    at = lambda k, n: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(n))
+    return at(0, "s").join(at(1, "m"), "vec_id").join(at(2, "r"), "vec_id")
+
+
+@query(
+    """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where len(embedding) = 64), n as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+f as (select a.vec_id, list_concat(a.v, b.v, list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), list_transform(list_zip(a.v, b.v), lambda z: abs(z[2] - z[1]))) as f from n a join n b on b.vec_id = a.vec_id + 1 join n c on c.vec_id = a.vec_id + 2),
+w as (select h, list(((h * 7 + k * 3) % 11 - 5) / 50 order by k) as w from range(2) a(h), range(256) b(k) group by h)
+select vec_id, round(tanh(0.5 * tanh(list_dot_product(f, (select w from w where h = 0)) + 0.1) - 0.25 * tanh(list_dot_product(f, (select w from w where h = 1)) + 0.1) + 0.1), 6) as score from f"""
+)
+def vec_network_scores(t):
+    """VEC-15: scores of a network of two hidden units with given weights, from source and translation, without a reference."""
+    h, k = np.mgrid[:2, :256]
+    layers = (((h * 7 + k * 3) % 11 - 5) / 50, np.full(2, 0.1)), (np.array([[0.5, -0.25]]), np.array([0.1]))
+    model = scorer.Scorer(layers, "qe", bounded=True)
+    return chained(t).select("vec_id", F.round(scorer.score(model, F.col("s"), F.col("m")), 6).alias("score"))
+
+
+@query()
+def vec_fitted_scores(t):
+    """VEC-15, UDF-18: a scorer fitted on four fifths of all rows to the mean cosine with source and reference, and its scores of every row."""
+    cosines = 0.5 * (V.cosine(F.col("s"), F.col("m")) + V.cosine(F.col("m"), F.col("r")))
+    rows = chained(t).withColumn("label", cosines).withColumn("held_out", F.col("vec_id") % 5 == 0)
+    model, _ = scorer.fit(rows.where("not held_out"), scorer.fresh(64, (), seed=5), "label", "s", "m", "r", rounds=30, rate=0.02)
+    return rows.select("vec_id", "held_out", F.round("label", 6).alias("label"), F.round(scorer.score(model, F.col("s"), F.col("m"), F.col("r")), 6).alias("score"))
