@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirline.operators import batching as B
+from weirline.operators import intervals
 from weirline.operators import sequences as S
 
 
@@ -136,3 +137,32 @@ def test_divide_against_recursion():
         for _ in range(20):
             p = r.random(n).round(1)
             assert S.divide(p, 12, 2, 0.3) == plain_divide(p.tolist(), 12, 2, 0.3)
+
+
+def test_words_of_frames_against_plain_loops(spark):
+    r = random.Random(4)
+    rows = [(k, i, tok, None if tok is None else tok, r.choice((None, 0.5, 1.0))) for k in range(25) for i, tok in enumerate(r.choices(["a", "b", "|", None], k=r.randrange(1, 14)))]
+    df = spark.createDataFrame(rows, "k int, t int, tok string, l string, sc double").repartition(3)
+    seg = intervals.frame_segments(df, "k", "t", "tok", "l", "sc")
+    got, words = {}, {}
+    for x in seg.orderBy("key", "segment").collect():
+        got.setdefault(x.key, []).append((x.label, x.start, x.end, x.score))
+    for x in intervals.segment_words(seg, "|", 2.0).orderBy("key", "word").collect():
+        words.setdefault(x.key, []).append((x.text, x.start, x.end))
+    for k in range(25):
+        want, own = [], [x for x in rows if x[0] == k]
+        for _, i, tok, label, sc in own:
+            if want and want[-1][0] == tok:
+                want[-1][2], want[-1][3] = i + 1, want[-1][3] + [sc]
+            else:
+                want.append([tok, i, i + 1, [sc]])
+        mean = lambda v: sum(x for x in v if x is not None) / n if (n := sum(x is not None for x in v)) else None
+        assert got[k] == [(a, b, c, mean(v)) for a, b, c, v in want]
+        said = [["", -1.0, -1.0]]
+        for a, b, c, _ in want:
+            if a == "|":
+                said.append(["", -1.0, -1.0])
+            else:
+                said[-1] = [said[-1][0] + (a or ""), said[-1][1] if said[-1][1] >= 0 else b / 2, c / 2]
+        assert words[k] == [tuple(x) for x in said]
+    assert intervals.segment_words(intervals.frame_segments(df.limit(0), "k", "t", "tok", "l", "sc"), "|").count() == 0

@@ -189,6 +189,34 @@ def win_islands(t):
     return i.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
+FRAMES = "f as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) - 1 as time, event_type as token, event_type[1:1] as label, coalesce(value, 0) as score from events), g as (select *, sum(n) over (partition by key order by time rows unbounded preceding) as segment from (select *, case when token <> lag(token) over (partition by key order by time) then 1 else 0 end as n from f)), s as (select key, segment, arg_min(label, time) as label, min(time) as start, max(time) + 1 as stop, avg(score) as score from g group by key, segment)"
+
+
+def frames(t):
+    """(key, time, token, label, score): each user's events as the frames of a recording."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return t("events").select(F.col("user_id").alias("key"), place.alias("time"), F.col("event_type").alias("token"), F.substring("event_type", 1, 1).alias("label"), F.coalesce("value", F.lit(0.0)).alias("score"))
+
+
+@query(f"with {FRAMES} select key, cast(segment as bigint) as segment, label, cast(start as int) as start, cast(stop as int) as end, round(score, 6) as score from s")
+def win_frame_segments(t):
+    """WIN-13: runs of frames of one token merged, with their mean score."""
+    s = intervals.frame_segments(frames(t), "key", "time", "token", "label", "score")
+    return s.select("key", F.col("segment").cast("long").alias("segment"), "label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""with {FRAMES}, w as (select *, coalesce(sum((label = 'e')::int) over (partition by key order by segment rows between unbounded preceding and 1 preceding), 0) as word from s),
+a as (select key, unnest(range(0, 1 + count(*) filter (label = 'e'))) as word from s group by key)
+select a.key, cast(a.word as bigint) as word, coalesce(string_agg(label, '' order by segment) filter (label <> 'e'), '') as text, round(coalesce(min(start) filter (label <> 'e') / 50, -1.0), 6) as start, round(coalesce(max(stop) filter (label <> 'e') / 50, -1.0), 6) as end
+from a left join w using (key, word) group by a.key, a.word"""
+)
+def win_frame_words(t):
+    """WIN-13: words of merged frames between separators, with their times at 50 frames a second."""
+    s = intervals.frame_segments(frames(t), "key", "time", "token", "label", "score")
+    return intervals.segment_words(s, "e", 50.0).select("key", F.col("word").cast("long").alias("word"), "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 @query("with w as (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as b, lead(role, 2) over (partition by conv_id order by turn) as c from conversations) select role, b, c, count(*) as n from w where c is not null group by role, b, c")
 def win_ngrams(t):
     """WIN-05: n-grams of consecutive rows."""
