@@ -129,3 +129,13 @@ def test_state_machine_queries_without_sql(spark, sf):
     assert all(a[:2] != b[:2] or a[3] < b[3] for a, b in zip(rising, rising[1:]))
     assert q["udf_word_alignment"](spark, sf).count() > 0 and q["udf_hash_embeddings"](spark, sf).count() > 0
     assert {r.rank for r in q["jn_ivf"](spark, sf).collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("name", ["arr_leaves"])
+def test_zeros_have_no_sign(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, [-1e-7, 0.6, 0.8, -1e-7, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert [repr(tuple(r)) for r in df.collect()] == [repr(r) for r in con.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall()]
