@@ -131,7 +131,7 @@ def test_state_machine_queries_without_sql(spark, sf):
     assert {r.rank for r in q["jn_ivf"](spark, sf).collect()} == {1, 2, 3, 4}
 
 
-@pytest.mark.parametrize("name", ["arr_leaves"])
+@pytest.mark.parametrize("name", ["arr_leaves", "vec_l2_normalize"])
 def test_zeros_have_no_sign(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     spark.createDataFrame([(1, [-1e-7, 0.6, 0.8, -1e-7, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")

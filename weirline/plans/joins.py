@@ -38,7 +38,7 @@ def vec_margin_mining(t):
     return mining.mine(side(t, 0), side(t, 1)).select("src_id", "tgt_id", "dir", F.round("score", 5).alias("score"))
 
 
-@query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 5)) as v from embeddings")
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) + 0.0) as v from embeddings")
 def vec_l2_normalize(t):
     """VEC-01."""
     return t("embeddings").select("vec_id", F.transform(V.l2_normalize(F.col("embedding")), lambda x: F.round(x, 5)).alias("v"))
