@@ -139,3 +139,16 @@ def test_zeros_have_no_sign(spark, tmp_path, name):
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     df = registry.queries()[name](spark, str(tmp_path))
     assert [repr(tuple(r)) for r in df.collect()] == [repr(r) for r in con.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall()]
+
+
+@pytest.mark.parametrize("name", ["src_epoch_rows", "src_epoch_tokens"])
+def test_epochs_equal_sql_where_the_least_lengths_tie(spark, tmp_path, name):
+    """A step of 192 rows whose two least lengths are 58: 58 * 0.809 + 58 * 0.191 in floating point is below 58."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, "x" * (58 if i % 192 < 2 else 61 + i % 150)) for i in range(384)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert len(got) > 100 and got == sorted(con.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall())

@@ -67,6 +67,14 @@ def fixed_bounds(n: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda i: F.struct(i.alias("from"), F.least(i + size, n).alias("to")))
 
 
+def thousandth(lengths: Column) -> Column:
+    """Floor of the 0.001 quantile (between two places in proportion) of ascending whole numbers, in whole numbers: in floating point it may fall just short of one."""
+    last = F.size(lengths) - 1
+    low = F.floor(last / 1000).cast("int")
+    at = lambda i: F.coalesce(F.get(lengths, i), F.lit(0)).cast("long")
+    return F.floor((at(low) * (1000 - last % 1000) + at(low + 1) * (last % 1000)) / 1000)
+
+
 def fragments(df: DataFrame, fragment: str, ranks: int, together: int, seed: int) -> DataFrame:
     """(fragment, rank, step): ranks take equal runs of the fragments in their order; a rank's are shuffled by seed, `together` of them make a step's table."""
     named = df.select(fragment).distinct()
@@ -114,9 +122,10 @@ def epoch(
     row = F.struct((element_length(df, length) if length else F.lit(0)).alias("n"), h.alias("h"), F.struct(*names).alias("row"))
     marked = df.select(F.col(fragment).alias("_fragment"), row.alias("r"))
     step = marked.join(plan, F.col("_fragment").eqNullSafe(plan[fragment])).groupBy("rank", "step")
-    tables = step.agg(F.collect_list("r").alias("rows"), F.greatest(F.lit(2), F.floor(F.percentile("r.n", F.lit(0.001)))).alias("spread"))
+    tables = step.agg(F.collect_list("r").alias("rows"), F.sort_array(F.collect_list("r.n")).alias("lengths"))
     jitter = lambda x: F.pmod(F.conv(F.substring(x["h"], 1, 8), 16, 10).cast("long"), F.col("spread")) if length else F.lit(0)
     placed = lambda x: F.struct((x["n"] + jitter(x)).cast("int").alias("n"), x["h"].alias("h"), x["row"].alias("row"))
+    tables = tables.withColumn("spread", F.greatest(F.lit(2), thousandth(F.col("lengths"))))
     tables = tables.select("rank", "step", F.sort_array(F.transform("rows", placed)).alias("rows"))
     bounds = fixed_bounds(F.size("rows"), batch_size) if batch_size else token_bounds(F.col("rows.n"), max_tokens, keep_long)
     bounds = F.filter(bounds, lambda b: b["to"] - b["from"] >= min_rows)

@@ -146,7 +146,9 @@ def src_padded_batches(t):
 EPOCH = """d as (select doc_id, coalesce(length(text), 0) as n, doc_id // 64 as f, md5('7:' || doc_id) as h from documents),
 fr as (select f, ((row_number() over (order by f) - 1) * 2) // count(*) over () as rank from (select distinct f from d)),
 st as (select f, rank, (row_number() over (partition by rank order by md5('7:' || f), f) - 1) // 3 as step from fr),
-g as (select doc_id, n, h, rank, step, greatest(2, floor(quantile_cont(n, 0.001) over (partition by rank, step)))::bigint as spread from d join st using (f)),
+l as (select rank, step, list_sort(list(n)) as l, count(*) - 1 as k from d join st using (f) group by rank, step),
+q as (select rank, step, greatest(2, (l[k // 1000 + 1] * (1000 - k % 1000) + coalesce(l[k // 1000 + 2], 0) * (k % 1000)) // 1000)::bigint as spread from l),
+g as (select doc_id, n, h, rank, step, spread from d join st using (f) join q using (rank, step)),
 o as (select *, row_number() over (partition by rank, step order by m, h, doc_id) - 1 as i, count(*) over (partition by rank, step) as c from (select *, n + ('0x' || h[1:8])::bigint % spread as m from g))"""
 
 
