@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from weirline.operators import ivfpq, mining
+from weirline.operators import ivfpq, mining, topk
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,46 @@ def test_mining_takes_the_index_for_the_rows(clustered, monkeypatch):
     monkeypatch.setattr(ivfpq, "index_type", lambda n: asked.append(n) or "OPQ16,IVF64,PQ16")
     found = {(r.src_id, r.tgt_id) for r in mining.best_matches(mining.mine(src, tgt, nprobe=8)).collect()}
     assert asked == [2000, 2000] and len(found & true) >= 0.95 * len(true)
+
+
+def test_greatest_of_rows_against_sorting_all():
+    r = np.random.default_rng(4)
+    m = r.normal(size=(40, 700))
+    m[:, r.integers(0, 700, 300)] = m[:, :1]  # many ties
+    m[:, 650] = m[:, 20] + 3e-10  # alike in nine places
+    sunk = np.where(r.random(m.shape) < 0.99, -np.inf, m)
+    for x in (m, m.T, sunk, m.round(1), m[:, :5], m[:1, :1]):
+        for k in (1, 4, 70):
+            few = min(k, x.shape[1])
+            want = np.argsort(-x.round(9), axis=1, kind="stable")[:, :few]
+            w, i = topk.top(x, k)
+            order = topk.leading(w, i, x[w, i], k)
+            assert (i[order].reshape(-1, few) == want).all() and (w[order].reshape(-1, few) == np.arange(len(x))[:, None]).all()
+            floor, parts = np.full(len(x), -np.inf), []
+            for a in range(0, x.shape[1], 130):
+                w, i = topk.top(x[:, a : a + 130], k, floor)
+                parts.append((w, i + a))
+            w, i = (np.concatenate(p) for p in zip(*parts))
+            order = topk.leading(w, i, x[w, i], k)
+            assert (i[order].reshape(-1, few) == want).all()
+
+
+def test_slices_of_a_tile_keep_the_best_of_both_sides(clustered, monkeypatch):
+    _, x = clustered
+    side = lambda name, a, b: pd.DataFrame({f"{name}_id": np.arange(a, b), f"{name}_vec": list(x[a:b])}).sample(frac=1, random_state=1)
+    sims = x[:900] @ x[5000:].T
+    order = lambda m: np.argsort(-m.round(9), axis=1, kind="stable")[:, :4]
+    want = {("f", q, 5000 + int(c)) for q, row in enumerate(order(sims)) for c in row} | {("b", 5000 + q, int(c)) for q, row in enumerate(order(sims.T)) for c in row}
+    for most in (1 << 22, 50_000, 3_000):  # all rows of a side at once, 50, three
+        monkeypatch.setattr(topk, "PRODUCTS", most)
+        assert {(r.dir, r.q_id, r.b_id) for r in mining._tile_both(4)(side("q", 0, 900), side("b", 5000, 6000)).itertuples()} == want
+
+
+def test_queries_with_sql_stay_exact_beyond_the_size_of_an_index(spark, tmp_path, monkeypatch):
+    """With more rows than exact search is used for by default, the queries that have SQL still take all pairs."""
+    from weirline.plans import registry
+
+    monkeypatch.setattr(ivfpq, "train", lambda *a, **k: pytest.fail("an index was trained"))
+    monkeypatch.setattr(ivfpq, "index_type", lambda n: "OPQ16,IVF64,PQ16")
+    for name in ("vec_best_matches", "vec_pair_margins", "vec_margin_mining"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirline.functions import vectors
+from weirline.operators.topk import slices, top
 
 #: Rows of the training sample for each cell, and at least; the model is fitted to these, by hash of id.
 ROWS_A_CELL, ROWS_AT_LEAST = 64, 65_536
@@ -329,14 +330,11 @@ def candidates(queries: DataFrame, codes: DataFrame, index: Index, n: int, nprob
         cell = model.cells[left.column("cell")[0].as_py()]
         q_id, out = left.column("q_id").to_numpy(), []
         y = matrix(left.column("y").combine_chunks())
-        k = min(n, len(b_id))
-        for a in range(0, len(y), 128):
-            some = y[a : a + 128]
-            est, table = np.repeat((some @ cell)[:, None], len(b_id), 1), model.tables(some)
-            for m in range(table.shape[1]):
-                est += table[:, m, code[:, m]]
-            near = np.argsort(-est, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(q_id[a : a + 128], k), b_id[near].ravel(), np.take_along_axis(est, near, 1).ravel()))
+        near = model.decode(code) + cell  # the rows that the codes stand for
+        for at in slices(len(y), len(b_id)):
+            est = y[at] @ near.T
+            w, i = top(est, n)
+            out.append((q_id[at][w], b_id[i], est[w, i]))
         return pa.table(dict(zip(("q_id", "b_id", "est"), (np.concatenate(x) for x in zip(*out)))))
 
     near = q.groupBy("cell", "i", "j").cogroup(b.groupBy("cell", "i", "j")).applyInArrow(best, "q_id long, b_id long, est double")

@@ -35,7 +35,7 @@ where sim / ((ms.m + mg.m) / 2) >= 1.04"""
 )
 def vec_margin_mining(t):
     """VEC-05..08, VEC-10, VEC-11, SET-02, SRT-03, FLT-14: both directions over the margin."""
-    return mining.mine(side(t, 0), side(t, 1)).select("src_id", "tgt_id", "dir", F.round("score", 5).alias("score"))
+    return mining.mine(side(t, 0), side(t, 1), index="Flat").select("src_id", "tgt_id", "dir", F.round("score", 5).alias("score"))
 
 
 @query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) + 0.0) as v from embeddings")
