@@ -15,7 +15,9 @@ def explode_with_null(df: DataFrame, *cols: str) -> DataFrame:
 
 def chunks(c: Column, n: int) -> Column:
     """Slices of at most n elements; a null or empty list is one chunk."""
-    return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.size(c), F.lit(n)), lambda i: F.slice(c, i, n))).otherwise(F.array(c))
+    # bound in an array of one, so that the list is worked out once and not for each chunk
+    cut = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x), F.lit(n)), lambda i: F.slice(x, i, n))).otherwise(F.array(x))
+    return F.transform(F.array(c), cut)[0]
 
 
 def pack(df: DataFrame, value: str, order: str, length: int, within: str) -> DataFrame:
