@@ -152,3 +152,27 @@ def test_epochs_equal_sql_where_the_least_lengths_tie(spark, tmp_path, name):
     df = registry.queries()[name](spark, str(tmp_path))
     got = sorted(map(tuple, df.collect()))
     assert len(got) > 100 and got == sorted(con.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall())
+
+
+def test_chunks_work_their_list_out_once(spark):
+    """A list that an expression makes is bound before it is cut, so that a text is not split again for each of its chunks."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.repeat(F.lit("a "), 20).alias("t"))
+    cut = df.select(nested.chunks(F.split("t", " "), 5).alias("c"))
+    plan = cut._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and [len(x) for x in cut.first().c] == [5, 5, 5, 5, 1]
+
+
+def test_bleu_counts_where_the_texts_are(spark):
+    """Clipped counts by row, rows of one key together, missing lengths and null texts as before; no n-gram is exchanged."""
+    from weirline.operators import scoring
+
+    rows = [(1, 1, "a b a b c", "a b d a"), (1, 2, "x", "x y"), (1, 2, "x z", "z"), (1, 3, None, "q"), (2, 1, "p q", "r s"), (3, 1, "", "t")]
+    df = spark.createDataFrame(rows, "g int, i int, h string, r string")
+    out = scoring.corpus_bleu(df, ["g"], ["i"], "h", "r")
+    # an n-gram that the references lack counts in full, as least() over a null does in the SQL: g 1 loses a "b" and an "x" of 8 and one "a b" of 5
+    mean = (math.log(6 / 8) + math.log(4 / 5)) / 4
+    got = {r.g: r.bleu for r in out.collect()}
+    assert set(got) == {1, 2} and abs(got[1] - 100 * math.exp(mean) * math.exp(min(0.0, 1 - 8 / 8))) < 1e-9
+    assert "gram" not in out._jdf.queryExecution().executedPlan().toString()

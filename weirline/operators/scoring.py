@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +29,44 @@ def tokens(t: Column, how: str = "13a") -> Column:
     return F.filter(F.split(t, "\\s+"), lambda w: w != "")
 
 
-def _grams(df: DataFrame, keys: list[str], c: str, order: int) -> DataFrame:
-    n = F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.size(c)))).alias("n")
-    at = df.where(F.size(c) > 0).select(*keys, c, n)
-    grams = at.select(*keys, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(c) - F.col("n") + 1), lambda i: F.array_join(F.slice(c, i, F.col("n")), " "))).alias("gram"))
-    return grams.groupBy(*keys, "n", "gram").agg(F.count("*").alias("c"))
+def clipped_counts(order: int):
+    """(hyps, refs) -> array of (total, hit) for n from 1: n-grams of a row's texts (lists of tokens), and those that its references have as often.
+
+    As in the SQL of cnt_bleu (least() passes over a null), an n-gram that the references lack is not clipped: it counts as a hit.
+    """
+    from collections import Counter
+
+    def grams(texts: list[list[str]], n: int) -> Counter:
+        return Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+
+    @F.arrow_udf("array<struct<total:bigint,hit:bigint>>")
+    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        out = []
+        for h, r in zip(hyps, refs):
+            h, r, found = h.as_py(), r.as_py(), []
+            for n in range(1, order + 1):
+                a, b = grams(h, n), grams(r, n)
+                found.append({"total": a.total(), "hit": sum(min(c, b.get(g, c)) for g, c in a.items())})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("total", pa.int64()), ("hit", pa.int64())])))
+
+    return run
 
 
 def corpus_bleu(df: DataFrame, groups: list[str], row: list[str], hyp: str, ref: str, how: str = "13a", order: int = 4) -> DataFrame:
     """(groups, bleu) of texts hyp against ref, row by row.
 
-    Clipped counts meet by row and n-gram; what reaches a group is a sum for each n. An n
-    without a match counts as half the one before it (exponential smoothing).
+    Clipped counts are made where a row's texts are; what reaches a group is a sum for each n.
+    An n without a match counts as half the one before it (exponential smoothing). Rows of
+    one key count as one row of several texts.
     """
-    rows = df.select(*groups, *row, tokens(F.col(hyp), how).alias("h"), tokens(F.col(ref), how).alias("r"))
     keys = [*groups, *row]
-    h, r = _grams(rows, keys, "h", order), _grams(rows, keys, "r", order).withColumnRenamed("c", "rc")
-    met = h.join(r, [*keys, "n", "gram"], "left")
-    m = met.groupBy(*groups, "n").agg(F.sum("c").alias("total"), F.sum(F.coalesce(F.least("c", "rc"), F.lit(0))).alias("hit"))
+    rows = df.select(*keys, tokens(F.col(hyp), how).alias("h"), tokens(F.col(ref), how).alias("r"))
+    texts = rows.groupBy(*keys).agg(F.collect_list("h").alias("h"), F.collect_list("r").alias("r"))
+    lengths = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.size(x))
+    counts = texts.select(*groups, lengths("h").alias("lh"), lengths("r").alias("lr"), F.posexplode(clipped_counts(order)("h", "r")).alias("k", "c"))
+    m = counts.groupBy(*groups, (F.col("k") + 1).alias("n")).agg(*(F.sum(c).alias(c) for c in ("lh", "lr")), F.sum("c.total").alias("total"), F.sum("c.hit").alias("hit")).where("total > 0")
     missed = F.sum((F.col("hit") == 0).cast("int")).over(Window.partitionBy(*groups).orderBy("n"))
     p = F.when(F.col("hit") > 0, F.col("hit") / F.col("total")).otherwise(1 / (F.pow(F.lit(2), missed) * F.col("total")))
-    scores = m.withColumn("p", p).groupBy(*groups).agg(F.avg(F.log("p")).alias("mean"))
-    lengths = rows.groupBy(*groups).agg(F.sum(F.size("h")).alias("lh"), F.sum(F.size("r")).alias("lr"))
-    return scores.join(lengths, groups).select(*groups, (100 * F.exp("mean") * F.exp(F.least(F.lit(0.0), 1 - F.col("lr") / F.col("lh")))).alias("bleu"))
+    scores = m.withColumn("p", p).groupBy(*groups).agg(F.avg(F.log("p")).alias("mean"), F.max("lh").alias("lh"), F.max("lr").alias("lr"))
+    return scores.select(*groups, (100 * F.exp("mean") * F.exp(F.least(F.lit(0.0), 1 - F.col("lr") / F.col("lh")))).alias("bleu"))
