@@ -72,3 +72,26 @@ def test_languages_and_speech(spark):
     assert one(spark, "Dr. Who (aside [x]) said: USA’s  No. 1!", S.clean_for_speech).split() == ["doctor", "who", "said", "usa's", "no", "1"]
     assert one(spark, "USA now", S.clean_for_speech) == "u s a now"
     assert one(spark, "Hello, [noise] WORLD (laughs)!", S.spoken_form) == "hello world"
+
+
+def test_texts_of_a_batch_are_not_all_python_objects_at_once(spark, monkeypatch):
+    """Results are packed every few values; nulls stay, an empty batch too."""
+    import pyarrow as pa
+
+    seen = []
+
+    class Batch:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def __getitem__(self, at):
+            seen.append(len(self.values[at]))
+            return pa.array(self.values[at], pa.string())
+
+    run = X.by_value(lambda: str.upper, "string", pa.string()).func
+    values = [None if k % 7 == 0 else f"t{k}" for k in range(600)]
+    got = [x for b in run(iter([Batch(values), Batch([])])) for x in b.to_pylist()]
+    assert got == [None if v is None else v.upper() for v in values] and max(seen) == X.HELD and len(seen) == 4

@@ -6,8 +6,9 @@ import functools
 import operator
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,13 +179,30 @@ def normalize(t: Column, accent: bool = True, case: bool = True, numbers: bool =
     return remove_non_printing(out)
 
 
+#: Values of a batch that are Python objects at a time.
+HELD = 256
+
+
+def by_value(make: Callable[[], Callable], kind: str, arrow: pa.DataType):
+    """A function of one column by make()'s function of a value, made once a task; null stays null.
+
+    A batch goes value by value and its results are packed every HELD of them, so that its texts are never held as Python objects all at once.
+    """
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        each = lambda x: None if x is None else f(x)
+        for b in batches:
+            yield pa.concat_arrays([pa.array([each(x) for x in b[a : a + HELD].to_pylist()], arrow) for a in range(0, max(1, len(b)), HELD)])
+
+    return run
+
+
 def _vectorised(f):
     """f on the letters of each distinct non-ASCII text; ASCII texts stay in the JVM."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
+    run = by_value(lambda: f, "string", pa.string())
     return lambda t: F.when(t.rlike("[^\\x00-\\x7f]"), run(t)).otherwise(t)
 
 

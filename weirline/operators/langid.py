@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirline.functions.text import HELD, by_value
+
 #: Letters of a gram; three fit into one 64-bit number.
 GRAM = 3
 #: Different (label, gram) counts of a model at most; it is shipped to the tasks.
@@ -52,9 +54,14 @@ def train(labelled: DataFrame, text: str, label: str, least: int = 5) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b.column(0).unique().to_pylist():
-                own = [codes(x) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if k == name]
-                gram, n = np.unique(np.concatenate(own), return_counts=True)
+            found: dict[str, list] = {}
+            for some in (b.slice(a, HELD) for a in range(0, b.num_rows, HELD)):
+                for name in some.column(0).unique().to_pylist():
+                    own = [codes(x) for k, x in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) if k == name]
+                    found.setdefault(name, []).append(np.unique(np.concatenate(own), return_counts=True))
+            for name, parts in found.items():
+                gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in parts]), len(gram)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["label", "gram", "n"])
 
     counts = rows.mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
@@ -73,20 +80,14 @@ def predicted(t: Column, model: Model) -> Column:
     """struct(label, prob, margin): the likeliest label, its posterior probability, and by how much a gram it leads on average; null without a letter."""
     kind = pa.struct([("label", pa.string()), ("prob", pa.float64()), ("margin", pa.float64())])
 
-    @F.arrow_udf("label string, prob double, margin double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            out = []
-            for x in b.to_pylist():
-                s = None if x is None else model.scores(x)
-                if s is None:
-                    out.append(None)
-                    continue
-                order = np.argsort(-s, kind="stable")
-                lead = float(s[order[0]] - s[order[1]]) if len(s) > 1 else 0.0
-                out.append({"label": model.labels[order[0]], "prob": float(1 / np.exp(s - s[order[0]]).sum()), "margin": lead / max(1, len(x) - (GRAM - 1))})
-            yield pa.array(out, kind)
+    def scored(x: str) -> dict | None:
+        if (s := model.scores(x)) is None:
+            return None
+        order = np.argsort(-s, kind="stable")
+        lead = float(s[order[0]] - s[order[1]]) if len(s) > 1 else 0.0
+        return {"label": model.labels[order[0]], "prob": float(1 / np.exp(s - s[order[0]]).sum()), "margin": lead / max(1, len(x) - (GRAM - 1))}
 
+    run = by_value(lambda: scored, "label string, prob double, margin double", kind)
     return run(letters(t))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +29,7 @@ def matched(tokens: Column, listed: list[str]) -> Column:
     its hits, however many phrases there are.
     """
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
@@ -40,13 +37,14 @@ def matched(tokens: Column, listed: list[str]) -> Column:
             automaton.add_word(p, p.strip())
         if listed:
             automaton.make_automaton()
-        for s in batches:
-            out = []
-            for t in s:
-                both = (t, low) if (low := t.lower()) != t else (t,) if t else ()
-                out.append(sorted({p for x in both for _, p in automaton.iter(x)}) if listed else [])
-            yield pd.Series(out, dtype=object)
 
+        def found(t: str) -> list[str]:
+            both = (t, low) if (low := t.lower()) != t else (t,) if t else ()
+            return sorted({p for x in both for _, p in automaton.iter(x)}) if listed else []
+
+        return found
+
+    run = X.by_value(make, "array<string>", pa.list_(pa.string()))
     return run(F.coalesce(tokens, F.lit("")))
 
 
@@ -86,14 +84,13 @@ def pieces(text: Column, model: str) -> Column:
     with open(model, "rb") as f:
         data = f.read()
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=data)
-        for s in batches:
-            yield pd.Series([f" {' '.join(' '.join(sp.EncodeAsPieces(t)).split())} " for t in s], dtype=object)
+        return lambda t: f" {' '.join(' '.join(sp.EncodeAsPieces(t)).split())} "
 
+    run = X.by_value(make, "string", pa.string())
     return run(F.trim(X.replace_unicode_punct(F.coalesce(text, F.lit("")))))
 
 
