@@ -203,7 +203,7 @@ def _vectorised(f):
     """f on the letters of each distinct non-ASCII text; ASCII texts stay in the JVM."""
 
     run = by_value(lambda: f, "string", pa.string())
-    return lambda t: F.when(t.rlike("[^\\x00-\\x7f]"), run(t)).otherwise(t)
+    return lambda t: F.coalesce(run(F.when(F.octet_length(t) != F.length(t), t)), t)  # Python gets a null for the others: a branch would not keep them from it
 
 
 def strip_accents(t: Column) -> Column:

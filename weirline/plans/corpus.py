@@ -109,11 +109,12 @@ select lang, count(*) as total_before, count(*) filter (reason is null) as total
 def flt_monolingual_lines(t):
     """FLT-10, CNT-01: sentence by sentence: gate, gate without URLs and tags, script, language and its threshold; counters by language."""
     s = sentences(t).where("lang is not null").withColumn("clean", S.clean_sentence(F.col("raw")))
-    s = s.withColumn("p", X.replace_tags(X.replace_urls(F.col("clean"))))
-    s = s.withColumn("script", X.script(F.col("p"))).withColumn("lid", S.predict_language(F.col("p")))
+    s = s.withColumn("gate", X.quality_reason(F.col("clean")))
+    s = s.withColumn("p", F.when(F.col("gate").isNull(), X.replace_tags(X.replace_urls(F.col("clean")))))  # null, and no more work, where the gate rejects
+    s = s.withColumn("script", F.when(F.col("p").isNotNull(), X.script(F.col("p")))).withColumn("lid", F.when(F.col("p").isNotNull(), S.predict_language(F.col("p"))))
     rules = [
-        ("filtered", X.quality_reason(F.col("clean")).isNotNull()),
-        ("extra_filtered", X.quality_reason(F.col("p")).isNotNull()),
+        ("filtered", F.col("gate").isNotNull()),
+        ("extra_filtered", (F.col("p") != F.col("clean")) & X.quality_reason(F.col("p")).isNotNull()),  # else the gate has passed it
         ("script_filtered", (F.col("script.share") < 1.0) | F.col("script.script").isNull()),
         ("lid_filtered", F.col("lid.prob") < 0.4),
         ("lid_mismatch", F.col("lid.lang") != F.col("lang")),
