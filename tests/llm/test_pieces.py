@@ -76,3 +76,15 @@ def test_viterbi_has_the_best_score(spark):
 
     for word, path in P.viterbi(found).collect():
         assert "".join(word[x.s : x.e] for x in path) == word and abs(sum(table[word[x.s : x.e]] for x in path) - best(word)) < 1e-9
+
+
+def test_the_driver_holds_the_table_as_arrow(spark):
+    """No Python object a word on the driver; tasks unpack the same ids, of words with letters that no piece covers too."""
+    p = P.load(P.MODEL)
+    words = ["the", "日本語", "\x01q", "thereafter", "ẞ"]
+    docs = spark.createDataFrame([(k, " ".join(words * 2)) for k in range(3)], "doc_id long, text string")
+    table = P.word_table(docs)
+    assert isinstance(table, P.pa.Table) and min(i for x in table.column("ids").to_pylist() for i in x) < 0
+    got = P.unpacked(P.packed(table), p)
+    assert len(got) == len(table) >= 5 and all(P.np.frombuffer(ids, "<i4").tolist() == p.merge(w) for w, ids in got.items())
+    assert P.unpacked(P.packed(table.slice(0, 0)), p) == {}

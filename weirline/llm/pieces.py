@@ -183,21 +183,42 @@ def viterbi(lat: DataFrame) -> DataFrame:
     return lat.selectExpr("word", "edges", f"{best} as best").selectExpr("word", f"{back} as path")
 
 
-def word_table(docs: DataFrame, text_col: str = "text", model: str = MODEL, table: int = TABLE, how: str = "merge") -> dict[str, bytes]:
-    """Ids, 32 bits each, of at most `table` frequent words (60 letters at most), from the relational lattice."""
+def word_table(docs: DataFrame, text_col: str = "text", model: str = MODEL, table: int = TABLE, how: str = "merge") -> pa.Table:
+    """(word, ids) of at most `table` frequent words (60 letters at most), from the relational lattice; id -1 - s: the letter at s, which no piece covers.
+
+    The driver holds the rows as Arrow only, some bytes a word, and makes no object of any.
+    """
     spark = docs.sparkSession
     p, scratch = load(model), Scratch(spark, "pieces")
     made: list[DataFrame] = []
     words = frequent_words(docs, scratch, text_col, model, table, made)
     lat = words.select("word").join(lattice(words, piece_table(spark, model), p.longest), "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<cost:double,s:int,e:int,id:int,inside:bigint>>)")))
-    paths = (fold if how == "merge" else viterbi)(lat).selectExpr("word", "transform(path, x -> coalesce(x.id, -1 - x.s)) as ids")
-    out = {}
-    for word, ids in paths.collect():  # at most `table` rows of 60 letters; an iterator would run the tasks one by one
-        out[word] = np.array([k for i in ids for k in ([i] if i >= 0 else p.ids(word[-1 - i]))], "<i4").tobytes()
+    out = (fold if how == "merge" else viterbi)(lat).selectExpr("word", "transform(path, x -> coalesce(x.id, -1 - x.s)) as ids").toArrow()
     scratch.drop(*made)
     return out
 
 
+def packed(table: pa.Table) -> bytes:
+    """A word_table() as an Arrow stream, which is what tasks get."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as to:
+        to.write_table(table, 8192)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(table: bytes, pieces: Pieces) -> dict[str, bytes]:
+    """The ids of each word of a packed() table, 32 bits each."""
+    out = {}
+    for b in pa.ipc.open_stream(table):
+        ends, flat = b.column(1).offsets.to_numpy().tolist(), b.column(1).values.to_numpy()
+        for k, word in enumerate(b.column(0).to_pylist()):
+            ids = flat[ends[k] : ends[k + 1]]
+            if len(ids) and ids.min() < 0:
+                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else pieces.ids(word[-1 - i]))])
+            out[word] = ids.astype("<i4").tobytes()
+    return out
+
+
 class Words(dict):
     """The word table; a word that is not in it goes through the same merges here, and a bounded number of those is kept."""
 
@@ -220,7 +241,7 @@ def _kept(token: str, table, pieces: Pieces) -> Words:
     """The words of one encoding run, kept by the worker from task to task; another run's go."""
     if token not in _WORDS:
         _WORDS.clear()
-        _WORDS[token] = Words(table.value, pieces)
+        _WORDS[token] = Words(unpacked(table.value, pieces), pieces)
     return _WORDS[token]
 
 
@@ -242,7 +263,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     if clash := {"id", "ids", "n_tokens", "round_trip", "_text"} & set(keep or []):
         raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     token = uuid.uuid4().hex
-    given = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col, model, table))
+    given = docs.sparkSession.sparkContext.broadcast(packed(word_table(docs, text_col, model, table)))
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # workers need no file of their own
     cols = [F.col(f"`{c}`") for c in keep or []]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *cols, F.col(text_col).cast("string").alias("_text"))
