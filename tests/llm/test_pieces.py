@@ -88,3 +88,20 @@ def test_the_driver_holds_the_table_as_arrow(spark):
     got = P.unpacked(P.packed(table), p)
     assert len(got) == len(table) >= 5 and all(P.np.frombuffer(ids, "<i4").tolist() == p.merge(w) for w, ids in got.items())
     assert P.unpacked(P.packed(table.slice(0, 0)), p) == {}
+
+
+def test_words_that_read_back_need_no_decoding():
+    """exact holds as long as all words read back; a text of such words decodes to itself, but for marks."""
+    import copy
+
+    p, r = P.load(P.MODEL), random.Random(4)
+    words = P.Words({}, p)
+    find = P.re.compile(p.word_pattern()).findall
+    for t in [t for t in TEXTS if t] + ["".join(r.choices("abé日 \x00▁.,0😀\n", k=40)) for _ in range(300)]:
+        ids = P.np.frombuffer(b"".join(map(words.__getitem__, find(P.marked(t)))), "<i4")
+        assert words.exact and (P.decode(ids, p) == t) == (P.MARK not in t)
+    bare = copy.copy(p)
+    bare.byte = {}  # letters without a piece become the unknown one
+    other = P.Words({}, bare)
+    assert other["▁the"] and other.exact and other["ẞ"] and not other.exact
+    assert not P.Words(dict(other), bare).exact

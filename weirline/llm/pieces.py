@@ -219,15 +219,26 @@ def unpacked(table: bytes, pieces: Pieces) -> dict[str, bytes]:
     return out
 
 
+def reads_back(word: str, ids: bytes, pieces: Pieces) -> bool:
+    """Whether a word's ids decode to the word's own bytes, marks read as spaces."""
+    return b"".join(map(pieces.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist())) == word.replace(MARK, " ").encode("utf-8", "replace")
+
+
 class Words(dict):
-    """The word table; a word that is not in it goes through the same merges here, and a bounded number of those is kept."""
+    """The word table; a word that is not in it goes through the same merges here, and a bounded number of those is kept.
+
+    exact: every word so far reads back. Ids decode to the bytes of the words one after
+    another, so a text of such words decodes to itself (but for marks) without a try.
+    """
 
     def __init__(self, table: dict[str, bytes], pieces: Pieces):
         super().__init__(table)
         self.pieces, self.room = pieces, KEPT
+        self.exact = all(reads_back(word, ids, pieces) for word, ids in table.items())
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.pieces.merge(word), "<i4").tobytes()
+        self.exact = self.exact and reads_back(word, ids, self.pieces)
         if self.room:
             self.room -= 1
             self[word] = ids
@@ -277,12 +288,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 parts, same = [], []
                 for t in b.column(b.num_columns - 1):
                     text = t.as_py() or ""
-                    ids = np.frombuffer(b"".join(map(words.__getitem__, find(marked(text)))), "<i4")
+                    ids = b"".join(map(words.__getitem__, find(marked(text))))
                     parts.append(ids)
-                    same.append(decode(ids, pieces) == text)
-                n = np.fromiter(map(len, parts), np.int64, len(parts))
+                    same.append(MARK not in text if words.exact else decode(np.frombuffer(ids, "<i4"), pieces) == text)
+                n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
                 ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
+                flat = pa.array(np.frombuffer(b"".join(parts), "<i4"))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(n), pa.array(same, pa.bool_())], names=[*b.schema.names[:-1], "ids", "n_tokens", "round_trip"])
 
     schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
